@@ -29,8 +29,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Remembered steps and pieces of one Python worker, about 200 MB and 90 MB when full.
 MAX_STEPS, MAX_PIECES = 600_000, 400_000
@@ -337,8 +340,6 @@ def encode_documents(docs: DataFrame, vocab, pattern: str, id_col: str = "doc_id
     """One row per row of docs: id_col, ids binary (little-endian uint32)."""
 
     def run(batches: Iterable):
-        import pyarrow as pa
-
         own = codec(vocab.value, pattern)
         for batch in batches:
             packed = [own.encode_packed(t or "") for t in batch.column(1).to_pylist()]
@@ -352,8 +353,6 @@ def decode_documents(encoded: DataFrame, vocab, pattern: str, id_col: str = "doc
     """The reverse: id_col, text string, by the incremental UTF-8 machine."""
 
     def run(batches: Iterable):
-        import pyarrow as pa
-
         own = codec(vocab.value, pattern)
         for batch in batches:
             texts = [own.decode_text(p or b"") for p in batch.column(1).to_pylist()]
@@ -363,34 +362,53 @@ def decode_documents(encoded: DataFrame, vocab, pattern: str, id_col: str = "doc
     return chosen.mapInArrow(run, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, text string")
 
 
+def digests(own: Codec, text: str) -> tuple[bytes, int, str, str, bool]:
+    """(packed ids, n_tokens, ids_sha256, decoded_sha256, round_trip) of one text; decoding is streamed."""
+    packed = own.encode_packed(text)
+    digest, stream, same, at = hashlib.sha256(), Utf8Stream(), True, 0
+    for chunk in own.decode_chunks(packed):
+        digest.update(chunk)
+        part = stream.feed(chunk)
+        same &= text.startswith(part, at)
+        at += len(part)
+    same &= text.startswith(last := stream.end(), at)
+    return packed, len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), same and at + len(last) == len(text)
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
+def _digest_arrays(texts: pa.Array, own: Codec) -> list[pa.Array]:
+    columns = list(zip(*(digests(own, t.as_py() or "")[1:] for t in texts), strict=True)) or [()] * 4
+    return [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
+
+
 def encode_digests(docs: DataFrame, vocab, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode and digest in one pass: id, n_tokens, ids_sha256, decoded_sha256, round_trip.
 
     round_trip tells whether the streamed decoding gave the text back.
     """
+    names = [id_col, *(x.split()[0] for x in _DIGESTS.split(", "))]
 
     def run(batches: Iterable):
-        import pyarrow as pa
-
         own = codec(vocab.value, pattern)
         for batch in batches:
-            rows = []
-            for scalar in batch.column(1):
-                text = scalar.as_py() or ""
-                packed = own.encode_packed(text)
-                digest, stream, same, at = hashlib.sha256(), Utf8Stream(), True, 0
-                for chunk in own.decode_chunks(packed):
-                    digest.update(chunk)
-                    part = stream.feed(chunk)
-                    same &= text.startswith(part, at)
-                    at += len(part)
-                at += len(stream.end())
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), same and at == len(text)))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_digest_arrays(batch.column(1), own)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(id_col, docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return chosen.mapInArrow(run, f"{id_col} {kind}, {_DIGESTS}")
+
+
+def with_tokens(docs: DataFrame, vocab, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs' columns and what encode_digests adds; columns of docs with those names are replaced."""
+
+    @F.pandas_udf(_DIGESTS)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        own = codec(vocab.value, pattern)
+        rows = [digests(own, t or "")[1:] for t in texts]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in _DIGESTS.split(", ")])
+
+    added = [x.split()[0] for x in _DIGESTS.split(", ")]
+    kept = [c for c in docs.columns if c not in added]
+    return docs.withColumn("_tokens", of(F.coalesce(F.col(text_col), F.lit("")))).select(*kept, "_tokens.*")

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxtide.llm import bpe
+from voxtide.llm import bagminhash, bpe, chat, decontam, gam, linedup, merkle, pitman_yor, secrets, toxicity
+from voxtide.llm.common import fold
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,5 +24,82 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), vocab, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe,)}
-ORACLES: dict[str, str] = {}
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and same_text of every document."""
+    return bagminhash.near_classes(documents(spark, sf_dir))
+
+
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return merkle.compare_with_next(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held = fold("doc_id", 5) == 0
+    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id").where(~held), "toxic")
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, token counts, base and model log10 probability, and perplexity of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = fold("doc_id", 10) == 0
+    model = pitman_yor.train(docs.where(~held))
+    scored = pitman_yor.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return secrets.digests(secrets.scan(docs, secrets.train(docs)))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the cleaned text of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return linedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = gam.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> gam.Gam:
+    """The additive model, from the labelled documents outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return gam.train(docs.select("doc_id", "text").join(labels, "doc_id").where(fold("doc_id", 4) != 2), "quality")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and overlaps of every benchmark item found in a document."""
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation as read back from its tokens, and of conversation -1, whose texts are control strings."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    vocab = bpe.vocabulary(spark, public_tokenizers.path(VOCABULARY))
+    return chat.read_back(turns.unionAll(extra), vocab, public_tokenizers.PATTERN)
+
+
+ALL = (op1_byte_bpe, op2_near_dedup, op3_merkle, op4_toxicity, op5_pitman_yor, op6_secrets, op7_line_dedup, op8_quality, op9_decontamination, op10_chat)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""
+with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents),
+a as (select *, lag(line) over w as b, lead(line) over w as n from l window w as (partition by doc_id order by place)),
+bad as (select line, min((doc_id, place)) as first from a where trim(line) <> ''
+  group by line having count(distinct source) >= {linedup.MIN_SITES} and count(distinct (coalesce(b, chr(10)), coalesce(n, chr(10)))) >= {linedup.VARIED} * count(*)),
+k as (select l.*, bad.line is not null and (l.doc_id, l.place) <> bad.first as gone from l left join bad on l.line = bad.line)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by place) filter (not gone), '') as text from k group by doc_id""",
+}
