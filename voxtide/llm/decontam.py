@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 #: Items of so many characters in all make one broadcast shard.
 SHARD_CHARS = 16_000_000
-BLOCK, K1, B, THRESHOLD = 16, 1.2, 0.3, 0.5
+BLOCK, K1, B, THRESHOLD = 4, 1.2, 0.3, 0.5
+#: Entries of the largest-impact table that is kept whole.
+TABLE = 4_000_000
 #: Share of an item's question and of its answer that must be found.
 OVERLAP, ANSWER_OVERLAP = 0.7, 0.5
 #: Words in a run that counts as found.
@@ -70,6 +73,7 @@ class Index:
     top: np.ndarray  # per term, over all blocks; one more entry, 0, for words of no item
     parts: list[tuple[list[str], list[str]]]
     longest: int
+    table: np.ndarray | None = None  # tops as one table where it is small
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str]) -> Index:
@@ -92,22 +96,20 @@ class Index:
             top = np.zeros(n // BLOCK + 1)
             np.maximum.at(top, i // BLOCK, x)
             tops.append(top)
-        return cls(ids, terms, items, impacts, tops, np.array([t.max() for t in tops] + [0.0]), [question_and_answer(t) for t in texts], max([sum(b.values()) for b in bags] or [1]))
+        return cls(ids, terms, items, impacts, tops, np.array([t.max() for t in tops] + [0.0]), [question_and_answer(t) for t in texts], max([sum(b.values()) for b in bags] or [1]), np.stack(tops) if tops and len(tops) * len(tops[0]) <= TABLE else None)
 
     def retrieve(self, query: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
         """Item numbers whose score for the distinct query terms reaches the threshold (block-max WAND)."""
         query = query[np.argsort(-self.top[query])]
         if self.top[query].sum() < threshold:
             return []
-        bound = np.sum([self.tops[t] for t in query], axis=0)
+        bound = self.table[query].sum(0) if self.table is not None else np.sum([self.tops[t] for t in query], axis=0)
         found = []
         for block in np.flatnonzero(bound >= threshold):
             score, left = np.zeros(BLOCK), float(bound[block])
             # term by term, largest first; stop when no item of the block can still reach the threshold
-            for t in query:
-                most = self.tops[t][block]
-                if not most:
-                    continue
+            tops = self.table[query, block] if self.table is not None else np.array([self.tops[t][block] for t in query])
+            for t, most in zip(query[tops > 0], tops[tops > 0], strict=True):
                 a, b = np.searchsorted(self.items[t], (block * BLOCK, (block + 1) * BLOCK))
                 score[self.items[t][a:b] - block * BLOCK] += self.impacts[t][a:b]
                 left -= most
@@ -116,14 +118,25 @@ class Index:
             found += [int(block) * BLOCK + int(k) for k in np.flatnonzero(score >= threshold - 1e-12)]
         return found
 
-    def passages(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Windows of twice the longest item, half overlapping, whose summed bounds reach the threshold."""
-        step = self.longest
-        sums = np.concatenate([[0.0], np.cumsum(self.top[numbers])])
-        for start in range(0, max(1, len(numbers) - step), step):
-            end = min(len(numbers), start + 2 * step)
-            if sums[end] - sums[start] >= THRESHOLD:
-                yield start, end
+    def passages(self, numbers: np.ndarray) -> list[tuple[int, int]]:
+        """Windows of twice the longest item, half overlapping, whose distinct terms' bounds sum to the threshold."""
+        step, n = self.longest, len(numbers)
+        last = max(0, -(-(n - step) // step) - 1)  # the last window that is not inside the one before
+        at = np.flatnonzero(numbers < len(self.terms))
+        if not len(at):
+            return []
+        term = numbers[at]
+        order = np.argsort(term, kind="stable")
+        before = np.full(len(at), -1)
+        same = term[order][1:] == term[order][:-1]
+        before[order[1:][same]] = at[order[:-1][same]]
+        bound = np.zeros(last + 2)
+        top = self.top[term]
+        # a place lies in the window of its step and in the one before; a term counts where it is first in a window
+        for window in (np.minimum(at // step, last + 1), at // step - 1):
+            first = (before < window * step) & (window >= 0) & (window <= last)
+            bound += np.bincount(window[first], top[first], last + 2)
+        return [(int(w) * step, min(n, int(w) * step + 2 * step)) for w in np.flatnonzero(bound[: last + 1] >= THRESHOLD)]
 
     def verify(self, item: int, tokens: list[str]) -> tuple[float, float]:
         """Share of the question's and of the answer's word runs that the passage holds in order."""
@@ -138,7 +151,7 @@ class Index:
         """Item id to (question overlap, answer overlap) of the verified items, best window each."""
         tokens = words(text)
         get, none = self.terms.get, len(self.terms)
-        numbers = np.fromiter((get(w, none) for w in tokens), np.int64, len(tokens))
+        numbers = np.fromiter(map(get, tokens, repeat(none)), np.int64, len(tokens))
         out: dict[int, tuple[float, float]] = {}
         for start, end in self.passages(numbers):
             query = np.unique(numbers[start:end])
