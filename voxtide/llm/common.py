@@ -42,6 +42,12 @@ def fold(id_col, folds: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def labelled_ids(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(id, label) of the documents with a label, each id once, with its largest label; only ids are shuffled, no texts."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    return known.join(docs.select(id_col), id_col, "left_semi")
+
+
 def crc_fold(number: int, folds: int) -> int:
     return zlib.crc32(str(number).encode()) % folds
 

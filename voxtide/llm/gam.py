@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.llm.common import labelled_ids
+
 #: At most so many labelled rows are used to fit.
 MAX_LABELLED = 20_000
 BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, PENALTY = 24, 120, 60, 6, 0.15, 4.0
@@ -174,14 +176,19 @@ def sample(labelled: DataFrame, id_col: str, limit: int) -> DataFrame:
     return labelled.orderBy(F.xxhash64(id_col), id_col).limit(limit)
 
 
-def train(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Gam:
-    """Fit on at most limit rows of labelled (id, text, label); only features come to the driver."""
-    ids = labelled.where(F.col(label_col).isNotNull()).select(id_col, label_col)
-    chosen = sample(ids, id_col, limit)
-    texts = labelled.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+def train(docs: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, labels: DataFrame | None = None) -> Gam:
+    """Fit on at most limit documents (id, text) with a label, from labels (id, label) or, without it, from docs itself.
+
+    The sample is chosen by ids alone and broadcast (limit rows), so texts stay where they are read; only features come to the driver.
+    An id that repeats counts once, with its least features.
+    """
+    chosen = sample(labelled_ids(docs, docs if labels is None else labels, label_col, id_col), id_col, limit)
+    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    names = [f"f{i}" for i in range(len(FEATURES))]
     rows = with_features(texts.withColumn(id_col, F.struct(id_col, label_col)).select(id_col, text_col), id_col, text_col)
-    rows = rows.select(f"{id_col}.*", *(f"f{i}" for i in range(len(FEATURES)))).orderBy(id_col).toPandas()
-    return fit(rows[[f"f{i}" for i in range(len(FEATURES))]].to_numpy(float), rows[label_col].to_numpy(float))
+    rows = rows.groupBy(id_col).agg(F.min(F.struct(*names)).alias("f"))
+    rows = rows.select(f"{id_col}.*", "f.*").orderBy(id_col).toPandas()
+    return fit(rows[names].to_numpy(float), rows[label_col].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> gam.Gam:
     """The additive model, from the labelled documents outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return gam.train(docs.select("doc_id", "text").join(labels, "doc_id").where(fold("doc_id", 4) != 2), "quality")
+    return gam.train(docs, "quality", labels=labels.where(fold("doc_id", 4) != 2))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
