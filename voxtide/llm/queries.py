@@ -39,7 +39,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held = fold("doc_id", 5) == 0
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id").where(~held), "toxic")
+    model = toxicity.train(docs, "toxic", labels=labels.where(~held))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
