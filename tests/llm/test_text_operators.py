@@ -230,6 +230,17 @@ def test_secrets_added_and_edge_rows(spark, edge):
     assert set(secrets.train(edge.limit(0))) == {0.0}
 
 
+def test_secrets_sample_is_fixed_and_counts_documents(spark):
+    # one id with many texts at the cut, and copies of whole rows: the order and number of rows do not change the sample
+    data = [(7, f"token = {hashlib.sha256(str(i).encode()).hexdigest()}") for i in range(40)] + [(8, f"ordinary {w}_identifier") for w in ("first", "second", "third", "fourth", "fifth", "sixth")]
+    whole = lambda rows, **more: secrets.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **more)
+    part = whole(data, limit=3)
+    assert part == whole(data[::-1], limit=3) == whole(data + data[:9] * 4 + data[-2:], limit=3)
+    assert part != whole(data) and whole(data) == whole(data + data[:9] * 4 + data[-2:])
+    chosen = secrets.sample(spark.createDataFrame(data + data[:9], "doc_id long, text string"), limit=5)
+    assert chosen.columns == ["key", "some", "copies"] and sorted(r.some for r in chosen.collect()) == [False] * 5 + [True] * 5
+
+
 # 7
 
 

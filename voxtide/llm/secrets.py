@@ -17,10 +17,13 @@ they are.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.llm.common import stored
+
 #: The base patterns, in the order in which kinds are listed.
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -78,19 +81,48 @@ def _codes(token: Column) -> Column:
     return F.zip_with(F.slice(chars, F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice(chars, F.lit(2), size), lambda a, b: a * 128 + b)
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_DOCS) -> DataFrame:
+    """key (hash of id and text), some (has base spans) and copies (rows that repeat it whole) of the limit least keys of either kind.
+
+    Only keys move: counts of their first 16 bits tell where the limit falls, so that few more than the limit are put in order.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = text.rlike(PATTERNS["assign"]) | text.rlike(_FAST["access"]) | text.rlike(_FAST["hex"])
+    rows = docs.select(_key(id_col, text_col), some.alias("some"))
+    keys = stored(rows.groupBy("key", "some").agg(F.count("*").alias("copies")), "secret-keys")
+    at: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for row in keys.groupBy("some", F.shiftright("key", 48).alias("part")).count().collect():
+        at[row["some"]][row["part"]] = row["count"]
+    chosen = []
+    for kind, parts in at.items():
+        last, seen = -(1 << 15), 0
+        for part in sorted(parts):
+            if seen >= limit:
+                break
+            last, seen = part, seen + parts[part]
+        chosen.append(keys.where((F.col("some") == kind) & (F.shiftright("key", 48) <= last)).orderBy("key").limit(limit))
+    return chosen[0].unionAll(chosen[1])
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio of every pair of characters, from at most limit documents with base spans and as many without.
 
+    The sample's keys are broadcast and pairs are counted where the texts are read.  A document is an id with a text; rows that repeat it whole count once.
     Without samples of both labels every ratio is 0 and the method adds nothing.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike(PATTERNS["assign"]) | text.rlike(_FAST["access"]) | text.rlike(_FAST["hex"])
-    rows = docs.select(F.xxhash64(F.col(id_col)).alias("order"), text.alias("text"))
-    with_secrets = rows.where(some).orderBy("order").limit(limit).select(F.explode(base_spans(F.col("text"))).alias("s"))
-    value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.text", PATTERNS["assign"], 2)).otherwise(F.col("s.text"))
-    ordinary = rows.where(~some).orderBy("order").limit(limit).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z_]{5,})(?![A-Za-z0-9])"), F.lit(1))).alias("token"))
-    labelled = with_secrets.select(value.alias("token"), F.lit(1).alias("random")).unionAll(ordinary.select("token", F.lit(0).alias("random")))
-    counted = labelled.select("random", F.explode(_codes(F.col("token"))).alias("code")).groupBy("random", "code").count().collect()
+    rows = docs.select(_key(id_col, text_col), text.alias("text")).join(F.broadcast(sample(docs, id_col, text_col, limit)), "key")
+    value = lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["text"], PATTERNS["assign"], 2)).otherwise(s["text"])
+    random = F.transform(base_spans(F.col("text")), value)
+    ordinary = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z_]{5,})(?![A-Za-z0-9])"), F.lit(1))
+    labelled = rows.select("copies", F.col("some").cast("int").alias("random"), F.explode(F.when(F.col("some"), random).otherwise(ordinary)).alias("token"))
+    pairs = labelled.select("random", "copies", F.explode(_codes(F.col("token"))).alias("code")).groupBy("random", "code", "copies").count()
+    # every copy of a document gives the same pairs, so the division leaves no rest
+    counted = pairs.groupBy("random", "code").agg(F.sum(F.expr("count div copies")).alias("count")).collect()
     counts = [[0.0] * (128 * 128) for _ in range(2)]
     for row in counted:
         counts[row["random"]][row["code"]] = float(row["count"])
