@@ -25,10 +25,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that of the least id."""
-    classes = bagminhash.near_classes(docs.select("doc_id", "text"))
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each class of near duplicates stays, that of the least key (id, then hash of the text).
+
+    A document is an id with a text: texts under one id are classed each for itself, a null id is an id, rows that repeat both become one, the least.
+    """
+    keyed = docs.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    classes = bagminhash.near_classes(keyed.select("key", "text"), id_col="key")
+    first = classes.where(F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key.doc_id").alias("first_id"), F.col("key.text_hash").alias("text_hash")).distinct()
+    own = F.xxhash64("text")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (own == F.col("text_hash")), "left_semi")
+    return kept.groupBy("doc_id", own.alias("text_hash")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

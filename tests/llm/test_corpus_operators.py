@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 import corpus_pipeline
-from voxtide.llm import bagminhash, decontam, pitman_yor, queries
+from voxtide.llm import bagminhash, decontam, gam, linedup, pitman_yor, queries
 from voxtide.llm.common import crc_fold
 
 SMALL = "/root/testdata/sf0.01"
@@ -214,3 +215,55 @@ def test_pipeline(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     assert np.mean([labels[d] for d in got if d in labels]) > 0.97
     assert public_tokenizers.PATTERN
+
+
+def key_of(own, text):
+    """Order of documents: a null id first, then ids, then Spark's hash of the text."""
+    hashed = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return (own is not None, own or 0, hashed - (hashed >> 63 << 64))
+
+
+def brute_lines(docs):
+    """The documents (id, text, source and others) without boilerplate lines."""
+    sites, arounds, n, first = {}, {}, Counter(), {}
+    for own, text, source, *_ in docs:
+        split = [] if text is None else text.split("\n")
+        for at, line in enumerate(split):
+            if line.strip(" "):
+                around = (split[at - 1] if at else "\n", split[at + 1] if at + 1 < len(split) else "\n")
+                sites.setdefault(line, set()).add(source)
+                arounds.setdefault(line, set()).add(around)
+                n[line] += 1
+                first[line] = min(first.get(line, (key_of(own, text), at)), (key_of(own, text), at))
+    bad = {x for x in n if len(sites[x] - {None}) >= linedup.MIN_SITES and len(arounds[x]) >= linedup.VARIED * n[x]}
+    keep = lambda own, text: text and "\n".join(x for at, x in enumerate(text.split("\n")) if x not in bad or first[x] == (key_of(own, text), at))
+    return [(own, keep(own, text), *more) for own, text, *more in docs]
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    small, folder = "/root/testdata/sf0.001", str(tmp_path)
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars").orderBy("doc_id")
+    docs = [tuple(r) for r in table.collect()]
+    for k in range(1, len(docs)):
+        own, text, *more = docs[k]
+        if k % 4 == 1:
+            text = f"{text}\nA footer of every site."
+        docs[k] = ({1: None, 3: docs[k - 1][0]}.get(k % 8, own), text, *more)
+    docs += [docs[1], docs[3], docs[9], (None, None, "s", "en", 0), (None, "", "s", "en", 0)]
+    spark.createDataFrame(docs, table.schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    got = [(r.doc_id, r.text, r.source, r.lang) for r in corpus_pipeline.run(spark, folder).collect()]
+
+    model = queries.quality_model(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    good = [d for d, s in zip(docs, model.score(np.array([gam.text_features(d[1] or "") for d in docs])), strict=True) if s >= corpus_pipeline.KEEP]
+    lined = brute_lines(good)
+    classes = brute_classes(sorted((key_of(d[0], d[1]), d[1] or "") for d in lined))
+    single = {key_of(d[0], d[1]): d for d in sorted(lined, key=repr) if classes[key_of(d[0], d[1])] == key_of(d[0], d[1])}
+    items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id", "text").collect()
+    index = decontam.Index.build([r.item_id for r in items], [r.text for r in items])
+    wanted = [(own, text, source, lang) for own, text, source, lang, _ in single.values() if not index.matches(text or "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    ids = Counter(r[0] for r in wanted)
+    assert ids[None] > 3 and any(n > 1 for own, n in ids.items() if own is not None)
+    assert any(a[1] != b[1] for a, b in zip(good, lined, strict=True) if a[0] is None)

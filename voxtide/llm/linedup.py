@@ -12,7 +12,7 @@ boilerplate line stays, so that no passage is lost.
 All of it is DataFrame functions.  Rows: a null text stays null and has no
 lines, blank lines are never boilerplate, a null site is not counted, rows
 that repeat whole count as occurrences each, an id that comes with two texts
-is two documents; long texts are split whole.
+is two documents, a null id is an id; long texts are split whole.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = rows.join(marked.select("h1", "h2", "first"), ["h1", "h2"]).where(here != F.col("first"))
     gone = gone.groupBy("id", "row_key").agg(F.sort_array(F.collect_set("place")).alias("gone"))
     keyed = docs.withColumn("row_key", F.xxhash64(text_col))
-    joined = keyed.join(gone.withColumnRenamed("id", "gone_id").withColumnRenamed("row_key", "gone_key"), (F.col(id_col) == F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left")
+    joined = keyed.join(gone.withColumnRenamed("id", "gone_id").withColumnRenamed("row_key", "gone_key"), F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left")
     size = F.size("all_lines")
     starts = F.concat(F.array(F.lit(1)), F.transform("gone", lambda p: p + 2))
     ends = F.concat(F.transform("gone", lambda p: p), F.array(size))
