@@ -189,6 +189,15 @@ def test_models_without_labels(spark, edge):
     assert all(np.isfinite(gam.text_features(t or "")).all() for _, t, *_ in EDGE)
 
 
+def test_toxicity_reads_long_words_whole():
+    long = "x" * 40
+    assert {zlib.crc32(part) % toxicity.ROWS for part in (b"xgrum", b"grumb", b"mble>", b"le>")} <= set(toxicity.grams(long + "grumble"))
+    model = toxicity.fit(["grumble here", "nothing here", "grumble there", "nothing there"] * 5, np.array([1.0, 0.0] * 10))
+    of = model.scorer()
+    assert of(f"{long}grumble") > of(f"{long}nothing")
+    assert np.isfinite(of("x" * 1_000_000))
+
+
 # 6
 
 

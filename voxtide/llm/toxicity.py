@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +35,8 @@ _WORDS = re.compile(r"[^\W_]+").findall
 
 def grams(word: str) -> np.ndarray:
     """Embedding rows of a word: itself and its runs of 3 to 5 characters."""
-    marked = f"<{word[:40]}>"
-    parts = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
+    marked = f"<{word}>"
+    parts = chain([marked], (marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)))
     return np.array(sorted({zlib.crc32(p.encode("utf-8", "surrogatepass")) % ROWS for p in parts}), np.int64)
 
 
