@@ -35,8 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Remembered steps and pieces of one Python worker, about 200 MB and 90 MB when full.
-MAX_STEPS, MAX_PIECES = 600_000, 400_000
+from voxtide.llm.common import alone
+
+#: Remembered steps and pieces of one Python worker, about 130 MB and 60 MB when full.
+MAX_STEPS, MAX_PIECES = 400_000, 250_000
 #: Texts below this code point take the faster pattern engine.
 LATIN = 0x250
 #: The rank of a pair that is no token.
@@ -128,7 +130,7 @@ class Transducer:
         """Can a longer token that begins with this node's bytes follow last?"""
         if last < 0:
             return True
-        key = last << 20 | node
+        key = last << 32 | node
         known = self._opens.get(key)
         if known is None:
             if len(self._opens) >= self.max_steps:
@@ -323,6 +325,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(data: bytes, pattern: str) -> Codec:
     """The worker's codec for this vocabulary and pattern, kept between tasks."""
+    alone("bpe", _CODECS)
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Remembered words of one Python worker.
-MAX_WORDS = 300_000
-
+from voxtide.functions.tables import discard, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where none is set (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+__all__ = ["Remembered", "alone", "arrow_schema", "crc_fold", "discard", "fold", "labelled_ids", "mix", "record_batch", "shingle_hashes", "shuffle_partitions", "stored", "unused", "word_hashes"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Remembered words of one Python worker.
+MAX_WORDS = 300_000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -68,6 +56,44 @@ class Remembered(dict):
         return value
 
 
+#: The operator that a Python worker serves, and what it remembers.
+_OWNER: list = [None, []]
+
+
+def alone(operator: str, *caches) -> None:
+    """Tell that this Python worker serves the operator now: what others remember in it is let go.
+
+    Workers are used again from stage to stage; without this their memory
+    would hold the caches of every stage that ran before.
+    """
+    if _OWNER[0] != operator:
+        for cache in _OWNER[1]:
+            cache.clear()
+        _OWNER[:] = [operator, list(caches)]
+
+
+def unused(taken, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of taken has it."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    """The Arrow form of a Spark schema, so that columns of nulls alone still have their type; for the driver (parsing needs its session)."""
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as one typed batch."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 #: 64-bit hashes of words.
 WORD_HASH = Remembered(lambda word: xxhash.xxh64_intdigest(word))
 
@@ -96,19 +122,3 @@ def shingle_hashes(words: list, size: int) -> np.ndarray:
             out = (out ^ hashes[k : k + len(out)]) * np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(29)
     return mix(out)
-
-
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Each row of df to one row of schema; make() runs once in a task and gives the function of a row's values."""
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [of(*values) for values in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
-
-    return df.mapInArrow(run, schema)

@@ -10,7 +10,10 @@ pairs whose quadrants would best explain what is left take turns likewise.
 Fitting uses a sample of labelled rows of bounded, documented size; scoring
 adds bins with numpy.  Rows: a null text counts as empty and is scored like
 any other; without labelled rows of both kinds the score is their share (0.5
-without any).
+without any); rows that repeat are scored each, an empty table gives no rows.
+Of equal hashed ids the least comes first into the sample, an id that repeats
+counts once, null ids and labels are not used.  Columns of docs pass through
+whatever their names; score is added, or replaces a column so named.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import labelled_ids
+from voxtide.llm.common import alone, labelled_ids
 
 #: At most so many labelled rows are used to fit.
 MAX_LABELLED = 20_000
@@ -164,6 +167,7 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def run(batches):
+        alone("gam")
         for batch in batches:
             rows = np.array([text_features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], [id_col, *names])
@@ -199,6 +203,7 @@ def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "
     def of(texts):
         import pandas as pd
 
+        alone("gam")
         rows = np.array([text_features(t or "") for t in texts]).reshape(-1, len(FEATURES))
         return pd.Series(held.value.score(rows))
 

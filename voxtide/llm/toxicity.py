@@ -8,8 +8,16 @@ that a few words in a long text count.  Embeddings and softmax learn together
 by gradient descent on the texts' labels.  Misspellings share most n-grams
 with the word that they hide, and so its vectors.
 
-Fitting uses a sample of labelled rows of bounded size.  Rows: a null text
-counts as empty and scores by the bias alone; texts are scored whole.
+The average is over windows and not over the whole text, as an average over
+all words lets a few words of a long text vanish (README has the figures).
+
+Fitting uses a sample of labelled rows of bounded size; of equal hashed ids the
+least id comes first, an id that repeats counts once, with its least text and
+largest label, null ids and labels are not used.  Rows: a null text counts as
+empty and scores by the bias alone; texts are scored whole; rows that repeat
+are scored each, equal texts alike; an empty table gives no rows, and no or
+one kind of label gives every text the labels' share.  Columns of docs pass
+through whatever their names; score is added, or replaces a column so named.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import Remembered, labelled_ids
+from voxtide.llm.common import Remembered, alone, labelled_ids
 
 #: How much more a toxic text counts in fitting.
 TOXIC_WEIGHT = 2.5
@@ -146,6 +154,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("double")
     def of(texts):
         if "of" not in kept:
+            alone("toxicity")
             kept["of"] = held.value.scorer()
         return texts.map(kept["of"]).astype(float)
 
