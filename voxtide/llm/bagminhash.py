@@ -12,15 +12,23 @@ documents agree in a component with the probability of their weighted Jaccard
 index.  Generation stops where times pass the largest component.
 
 Signatures are cut into bands.  Texts that are equal are one row from the
-start; those that share a band are compared by exact multiset overlap, but
-never all with all: each bucket is a star around a *centre*, its member whose
-buckets are largest.  What a centre's star leaves apart is compared by a few
-more stars, and at last exactly: pairs of a bucket that are still apart, less
-those that the triangle inequality of the Jaccard distance rules out.
-Connected components of the links are the classes.
+start; those that share a band's key are one *bucket*, and no bucket is joined
+with itself.  All buckets of a group get one *centre*, a text of its largest
+buckets, and every member is compared with it by exact multiset overlap: a
+star.  Where a star leaves members outside the centre's component, these, the
+stragglers, are looked up among all members of the group, held as blocks of
+bounded size: a member is known by how its bag differs from the centre's, an
+inverted index over these differences (short lists, as copies differ each in
+its own places) gives a straggler's exact overlap with the whole block, and
+only links that join two components leave the task.  Connected components of
+the links are the classes, so no link between different texts is lost but by
+the bands' miss.
 
 Rows: null and white-space texts have no shingles and are one class each of
 equal texts (null counts as empty); fewer than five words make one shingle.
+Rows with one id and several texts give a row each, a null id is an id and the
+least, repeated rows stay repeated, other columns are left out whatever their
+names, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import mix, shingle_hashes, stored
+from voxtide.llm.common import WORD_HASH, alone, arrow_schema, discard, mix, record_batch, shingle_hashes, stored
 
 WORDS, SIMILAR = 5, 0.8
 #: Pairs at 0.8 share one band of four with probability 1 - (1 - 0.41) ** 32, all but 5 in 10 ** 8.
 BANDS, BAND_ROWS = 32, 4
-#: Rounds of stars before what is left is compared exactly.
-STARS = 2
 #: Shingles that are turned into signatures at a time.
-BATCH_SHINGLES = 200_000
+BATCH_SHINGLES = 60_000
+#: Names of texts with partners, 16 bytes each, that are sent to the texts at most; more meet them by a shuffle.
+SENT_NODES = 1_000_000
+#: Bytes of bags of one block of a group.
+BLOCK_BYTES = 4_000_000
 
 
 def bag(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,22 +117,70 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = BANDS * BA
     return least
 
 
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag as bytes: hashes, and their counts unless all are 1."""
+    return keys.astype("<u8").tobytes() + (b"" if (counts == 1).all() else counts.astype("<u4").tobytes() + b"c")
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if len(data) % 4 == 0:
+        return np.frombuffer(data, "<u8"), np.ones(len(data) // 8, np.int64)
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
+
+
+def overlap(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each shingle of the bag (x, m) is also in (y, n)."""
+    if not len(y):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return np.where(y[at] == x, np.minimum(m, n[at]), 0)
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard index of two packed bags."""
     (x, m), (y, n) = unpack(a), unpack(b)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    same = int(np.minimum(m[i], n[j]).sum())
+    same = int(overlap(x, m, y, n).sum())
     total = int(m.sum() + n.sum()) - same
     return same / total if total else 0.0
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return keys.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
+def items(data: bytes) -> np.ndarray:
+    """A packed bag as a set: the n-th copy of a shingle is an item of its own."""
+    keys, counts = unpack(data)
+    if len(data) % 4 == 0:
+        return keys
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        return np.repeat(keys, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+class Block:
+    """Members of a group, each as its difference from the centre's items, and which of them share an item."""
+
+    def __init__(self, centre: bytes, bags: list[bytes]):
+        self.centre = items(centre)
+        sets = [items(b) for b in bags]
+        apart = [np.setxor1d(x, self.centre, assume_unique=True) for x in sets]
+        self.sizes, self.far = np.array([len(x) for x in sets]), np.array([len(x) for x in apart])
+        flat, owner = np.concatenate(apart), np.repeat(np.arange(len(bags)), self.far)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.keys, self.start = np.unique(flat[order], return_index=True)
+        self.end = np.append(self.start[1:], len(flat))
+
+    def alike(self, bag: bytes, similar: float) -> np.ndarray:
+        """Numbers of the members whose weighted Jaccard index with the bag reaches similar."""
+        own = items(bag)
+        apart = np.setxor1d(own, self.centre, assume_unique=True)
+        at = np.searchsorted(self.keys, apart)
+        there = np.flatnonzero(at < len(self.keys))
+        at = at[there][self.keys[at[there]] == apart[there]]
+        many = self.end[at] - self.start[at]
+        places = np.repeat(self.start[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        shared = np.bincount(self.owner[places], minlength=len(self.sizes))
+        same = (len(own) + self.sizes - (len(apart) + self.far - 2 * shared)) // 2
+        return np.flatnonzero(same / (len(own) + self.sizes - same) >= similar)
 
 
 def band_keys(texts: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -137,6 +195,7 @@ def band_keys(texts: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Da
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.FixedSizeListArray.from_arrays(flat, bands).cast(pa.list_(pa.int64()))], ["node", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bagminhash", WORD_HASH)
         for batch in batches:
             nodes, bags, held = [], [], 0
             for own, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -145,7 +204,7 @@ def band_keys(texts: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Da
                     nodes.append(own.as_py())
                     bags.append((keys, counts))
                     held += len(keys)
-                if held >= BATCH_SHINGLES:
+                if held >= BATCH_SHINGLES or len(bags) >= BATCH_SHINGLES // 10:
                     yield finish(nodes, bags)
                     nodes, bags, held = [], [], 0
             if nodes:
@@ -159,23 +218,77 @@ def packed_bags(texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def of(column):
+        alone("bagminhash", WORD_HASH)
         return column.map(lambda t: pack(*bag(t)))
 
     return texts.select("node", of("text").alias("bag"))
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact similarity s; bags (node, bag) join each end, and AQE splits skewed ends."""
+    """pairs (node, centre) with their exact similarity s; bags (node, bag) join each end, and AQE splits skewed ends."""
+    schema = "node binary, centre binary, s double"
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [similarity(x.as_py(), c.as_py()) for x, c in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], schema=kinds)
 
-    @F.pandas_udf("double")
-    def of(a, b):
-        import pandas as pd
+    left = pairs.join(bags, "node")
+    both = left.join(bags.select(F.col("node").alias("centre"), F.col("bag").alias("centre_bag")), "centre")
+    return both.select("node", "centre", "bag", "centre_bag").mapInArrow(run, schema)
 
-        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    left = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    both = left.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.select("a", "b", of("bag_a", "bag_b").alias("s"))
+def searched(rest: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that join components: the stragglers of rest (node, comp, centre, straggler) against all of their centre's members.
+
+    Members are dealt to blocks of BLOCK_BYTES or so and each block meets its
+    group's stragglers one by one.  A task holds one block, and hands on at
+    most one link for each component that a link joins to another.
+    """
+    held = stored(rest.join(bags, "node"), "rest")
+    blocks = held.groupBy("centre").agg((F.floor(F.sum(F.length("bag")) / BLOCK_BYTES) + 1).cast("int").alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    columns = ["centre", "block", "kind", "node", "comp", "bag"]
+    heads = blocks.join(bags.withColumnRenamed("node", "centre"), "centre").select("centre", every, F.lit(0).alias("kind"), F.col("centre").alias("node"), F.col("centre").alias("comp"), "bag")
+    members = held.join(blocks, "centre").select("centre", own, F.lit(1).alias("kind"), "node", "comp", "bag")
+    asking = held.where("straggler").join(blocks, "centre").select("centre", every, F.lit(2).alias("kind"), "node", "comp", "bag")
+    dealt = heads.select(columns).unionAll(members.select(columns)).unionAll(asking.select(columns))
+    schema = "a binary, b binary"
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre, nodes, comps, bags, block, up = None, b"", [], [], [], None, {}
+
+        def top(x):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        for batch in batches:
+            links = []
+            for key, number, kind, node, comp, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, number) != now:
+                    now, nodes, comps, bags, block, up = (key, number), [], [], [], None, {}
+                if kind == 0:
+                    centre = bag
+                elif kind == 1:
+                    nodes.append(node)
+                    comps.append(comp)
+                    bags.append(bag)
+                elif nodes:
+                    if block is None:
+                        block, bags = Block(centre, bags), []
+                    for i in block.alike(bag, similar):
+                        one, other = top(comp), top(comps[i])
+                        if one != other:
+                            up[max(one, other)] = min(one, other)
+                            links.append((node, nodes[i]))
+            if links:
+                yield record_batch(links, kinds)
+
+    return dealt.repartition("centre", "block").sortWithinPartitions("centre", "block", "kind", "node").mapInArrow(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,13 +299,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select("b", "a")).distinct(), "links")
     now = stored(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("comp")), "labels")
+    last = now
     while True:
         near = both.join(now.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("comp").alias("near")).withColumnRenamed("x", "node")
         step = now.join(near, "node").select("node", F.least("comp", "near").alias("mid"), F.col("comp").alias("old"))
         up = now.select(F.col("node").alias("mid"), F.col("comp").alias("up"))
         after = stored(step.join(up, "mid").select("node", F.least("mid", "up").alias("comp"), "old"), "labels")
-        now = after.select("node", "comp")
+        discard(last)
+        now, last = after.select("node", "comp"), after
         if after.where("comp <> old").isEmpty():
+            discard(both)
             return now
 
 
@@ -200,66 +316,41 @@ def _with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """The members (with comp) of buckets that hold several components."""
-    open_ = members.groupBy("band", "key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other")
-    return members.join(open_.select("band", "key"), ["band", "key"])
-
+def to_centres(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """(node, centre) of every member of a bucket (band, key, node), node and centre never equal.
 
-def _star(members: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(band, key, node, comp, centre): each bucket's members that are apart from its centre, the candidate of the largest buckets."""
-    centre = candidates.groupBy("band", "key").agg(F.max(F.struct("weight", "node", "comp")).alias("c"))
-    met = members.join(centre.select("band", "key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), ["band", "key"])
-    return met.where("comp <> centre_comp").select("band", "key", "node", "comp", "centre")
-
-
-def _pairs(a: str, b: str, met: DataFrame) -> DataFrame:
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    A node's best is the largest by (weight, node) in its buckets, and a
+    bucket's centre the largest of its members' bests, so that the buckets of
+    one group share theirs.
+    """
+    rank = F.struct("weight", "node")
+    ranked = members.join(weights, "node")
+    met = ranked.join(ranked.groupBy("band", "key").agg(F.max(rank).alias("c")), ["band", "key"])
+    best = met.groupBy("node").agg(F.max("c").alias("best"))
+    far = members.join(best, "node").groupBy("band", "key").agg(F.max("best").alias("c"))
+    return members.join(far, ["band", "key"]).select("node", F.col("c.node").alias("centre")).where("node <> centre").distinct()
 
 
-def linked(texts: DataFrame, keys: DataFrame, similar: float = SIMILAR, stars: int = STARS) -> DataFrame:
+def linked(texts: DataFrame, keys: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """node, comp of every text linked to another; texts (node, text) may repeat nodes, keys is band_keys of them."""
     flat = keys.select("node", F.posexplode("keys").alias("band", "key"))
     shared = flat.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = flat.join(shared, ["band", "key"])
-    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = stored(members.select("band", "key", "node").join(weights, "node"), "members")
-    wanted = members.select("node").distinct()
+    found = flat.join(shared, ["band", "key"])
+    weights = stored(found.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    members = stored(found.select("band", "key", "node"), "members")
+    wanted = weights.select("node")
+    if weights.count() <= SENT_NODES:
+        wanted = F.broadcast(wanted)
     bags = stored(packed_bags(texts.join(wanted, "node")).dropDuplicates(["node"]), "bags")
-    comps = members.select("node", F.col("node").alias("comp")).limit(0)
-    seen = links = None
-    first = None
-    for _ in range(stars):
-        apart = stored(_apart(_with_comp(members, comps)), "apart")
-        if apart.isEmpty():
-            return comps
-        # first the bucket's centre, then the centre of what the stars so far have left outside its component
-        outside = apart if first is None else apart.join(first, ["band", "key"]).where("comp <> centre_comp").drop("centre_comp")
-        met = _star(apart, outside)
-        pairs = _pairs("node", "centre", met)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        found = stored(verified(pairs, bags), "verified")
-        seen = found if seen is None else seen.unionByName(found)
-        good = found.where(F.col("s") >= similar).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        comps = components(links)
-        centre = _with_comp(members, comps).groupBy("band", "key").agg(F.max(F.struct("weight", "node", "comp")).alias("c"))
-        first = centre.select("band", "key", F.col("c.comp").alias("centre_comp"))
-    rest = stored(_apart(_with_comp(members, comps)), "apart")
-    if rest.isEmpty():
-        return comps
-    # distance to the bucket's first centre, where known, rules pairs out: a link needs |d(x) - d(y)| <= 1 - similar
-    centre = members.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", "key", F.col("c.node").alias("centre"))
-    known = seen.select("a", "b", "s")
-    rest = rest.join(centre, ["band", "key"]).withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}).join(known, ["a", "b"], "left")
-    rest = stored(rest.select("band", "key", "node", "comp", F.when(F.col("node") == F.col("centre"), 1.0).otherwise(F.col("s")).alias("s")), "rest")
-    x = rest.select("band", "key", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("s").alias("x_s"))
-    y = rest.select("band", "key", F.col("node").alias("y"), F.col("comp").alias("y_comp"), F.col("s").alias("y_s"))
-    met = x.join(y, ["band", "key"]).where((F.col("x_comp") < F.col("y_comp")) & (F.coalesce(F.abs(F.col("x_s") - F.col("y_s")), F.lit(0.0)) <= 1 - similar + 1e-9))
-    pairs = _pairs("x", "y", met).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    found = verified(pairs, bags).where(F.col("s") >= similar).select("a", "b")
-    return components(links.unionByName(found))
+    star = stored(verified(to_centres(members, weights), bags), "verified")
+    discard(members, weights)
+    links = star.where(F.col("s") >= similar).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    comps = components(links)
+    centre = _with_comp(star.select(F.col("centre").alias("node")).distinct(), comps).select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp"))
+    rest = _with_comp(star.select("node", "centre"), comps).join(centre, "centre").withColumn("straggler", F.col("comp") != F.col("centre_comp"))
+    open_ = rest.where("straggler").select("centre").distinct()
+    more = searched(rest.join(open_, "centre").select("node", "comp", "centre", "straggler"), bags, similar)
+    return components(links.unionByName(more))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
