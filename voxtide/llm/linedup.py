@@ -1,18 +1,27 @@
 """Removal of lines that spread over many sites.
 
-A line is boilerplate when it stands on at least MIN_SITES distinct sites and
-in varied surroundings: at least half as many distinct (previous line, next
-line) pairs as occurrences.  The second part tells a footer, which is set into
-different pages, from the lines of one page that was copied whole, which is
-the near-duplicate operator's work.  Both counts are HyperLogLog sketches per
-line hash, merged by aggregation; lines whose estimate comes near a threshold
-are counted exactly.  The first occurrence (least id, then place) of a
-boilerplate line stays, so that no passage is lost.
+A line is *widespread* when it stands on MIN_SITES distinct sites or more.  A
+document is a *page of its own* when at least OWN of its lines that are not
+blank are not widespread; a copy or near copy of a page that many sites carry
+is none.  A widespread line is boilerplate when it also stands on MIN_SITES
+sites counted over pages of their own: so every line of a footer goes, however
+many lines it has and however many copies of one page hold it too, while the
+lines of a page that was copied whole are left to the near-duplicate operator.
+The first occurrence (least id, then text hash, then place) of a boilerplate
+line stays, so that no passage is lost.
+
+Distinct sites are HyperLogLog sketches per line hash, merged by aggregation;
+lines whose estimate comes near the threshold are counted exactly.  Lines that
+make up more than a HEAVY-th of all occurrences, at most HEAVY by their
+definition, meet their occurrences by broadcast, all others by a shuffle, so
+no task holds a common line's occurrences.
 
 All of it is DataFrame functions.  Rows: a null text stays null and has no
 lines, blank lines are never boilerplate, a null site is not counted, rows
-that repeat whole count as occurrences each, an id that comes with two texts
-is two documents, a null id is an id; long texts are split whole.
+that repeat whole are one document, an id that comes with two texts is two
+documents, a null id is an id and the least; long texts are split whole.
+Columns of docs pass through whatever their names; n_lines and n_removed are
+added, and replace columns of these names.
 """
 
 from __future__ import annotations
@@ -20,62 +29,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct sites from which a line is boilerplate; share of distinct surroundings.
-MIN_SITES, VARIED = 10, 0.5
-#: log2 of the sketch's registers; estimates within this share of a threshold are counted exactly (five standard errors).
+from voxtide.llm.common import stored, unused
+
+#: Distinct sites from which a line is widespread; share of a document's lines that makes it a page of its own.
+MIN_SITES, OWN = 10, 0.25
+#: log2 of the sketch's registers; estimates within this share of the threshold are counted exactly (five standard errors).
 LOG_REGISTERS, NEAR = 12, 0.09
+#: A line with more than one in so many of all occurrences is heavy.
+HEAVY = 1000
+LINE, DOC = ["h1", "h2"], ["id", "row_key"]
+
+
+def _row_key(text_col: str) -> Column:
+    """Tells apart texts under one id."""
+    return F.xxhash64(text_col)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """Every line that is not blank: id, row_key, site, place, line hashes h1 and h2, hash of its surroundings."""
-    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _row_key(text_col), F.col(site_col).alias("site"), F.split(text_col, "\n", -1).alias("now"))
-    own = own.withColumn("size", F.size("now"))
-    around = own.select(
-        "id", "row_key", "site",
-        F.posexplode(F.arrays_zip(
-            "now",
-            F.concat(F.array(F.lit(None).cast("string")), F.slice("now", F.lit(1), F.col("size") - 1)).alias("before"),
-            F.concat(F.slice("now", F.lit(2), F.col("size")), F.array(F.lit(None).cast("string"))).alias("after"),
-        )).alias("place", "x"),
-    )
-    spaced = around.where(F.trim("x.now") != "")
-    return spaced.select("id", "row_key", "site", "place", F.xxhash64("x.now").alias("h1"), F.xxhash64(F.lit(1), "x.now").alias("h2"), F.xxhash64(F.coalesce("x.before", F.lit("\n")), F.coalesce("x.after", F.lit("\n"))).alias("around"))
+    """Every line that is not blank: id, row_key, site, lines of its document, place, line hashes h1 and h2."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _row_key(text_col).alias("row_key"), F.col(site_col).alias("site"), F.split(text_col, "\n", -1).alias("split"))
+    filled = F.size(F.filter("split", lambda x: F.trim(x) != ""))
+    each = texts.select("id", "row_key", "site", filled.alias("lines"), F.posexplode("split").alias("place", "line")).where(F.trim("line") != "")
+    return each.select("id", "row_key", "site", "lines", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _row_key(text_col: str) -> Column:
-    """Tells apart texts under one id."""
-    return F.xxhash64(text_col).alias("row_key")
-
-
-def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES, varied: float = VARIED) -> DataFrame:
-    """h1, h2 of boilerplate lines, with first (id, row_key, place), n, and the counts that decided."""
-    line = ["h1", "h2"]
-    often = rows.groupBy(*line).agg(F.count("*").alias("n"), F.min(F.struct("id", "row_key", "place")).alias("first")).where(F.col("n") >= min_sites)
-    at = rows.join(often.select(*line), line)
-    sketched = at.groupBy(*line).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("around", LOG_REGISTERS)).alias("arounds"))
-    found = often.join(sketched, line)
-    near = lambda c, at: F.abs(F.col(c) - at) <= NEAR * at
-    close = near("sites", F.lit(float(min_sites))) | near("arounds", F.col("n") * varied)
-    possible = (F.col("sites") >= min_sites * (1 - NEAR)) & (F.col("arounds") >= F.col("n") * varied * (1 - NEAR))
-    found = found.where(possible).withColumn("close", close)
-    exact = rows.join(found.where("close").select(*line), line).groupBy(*line).agg(F.countDistinct("site").alias("exact_sites"), F.countDistinct("around").alias("exact_arounds"))
-    decided = found.join(exact, line, "left").select(*line, "n", "first", F.coalesce("exact_sites", "sites").alias("sites"), F.coalesce("exact_arounds", "arounds").alias("arounds"))
-    return decided.where((F.col("sites") >= min_sites) & (F.col("arounds") >= F.col("n") * varied))
-
-
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, varied: float = VARIED) -> DataFrame:
-    """docs with boilerplate lines taken out of the text, and n_lines and n_removed; one shuffle moves the texts."""
+def of_lines(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """rows of the chosen lines (h1, h2, heavy and others), with chosen's columns: heavy ones by broadcast, the rest by a shuffle."""
+    heavy = F.broadcast(chosen.where("heavy").drop("heavy"))
+    light = chosen.where("not heavy").drop("heavy")
+    return rows.join(heavy, LINE).unionByName(rows.join(light.hint("merge"), LINE))
+
+
+def spread(rows: DataFrame, chosen: DataFrame, min_sites: int) -> DataFrame:
+    """chosen (h1, h2, heavy) lines that rows (h1, h2, site) have on at least min_sites sites."""
+    sketched = rows.groupBy(*LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("sites"))
+    sketched = stored(chosen.join(sketched, LINE).where(F.col("sites") >= min_sites * (1 - NEAR)), "line-sites")
+    close = F.abs(F.col("sites") - min_sites) <= NEAR * min_sites
+    pairs = of_lines(rows.select(*LINE, "site"), sketched.where(close).select(*LINE, "heavy")).where(F.col("site").isNotNull())
+    exact = pairs.groupBy(*LINE, "site").agg(F.lit(1).alias("one")).groupBy(*LINE).agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    return sketched.where(~close).select(*LINE, "heavy").unionByName(sketched.where(close).join(exact, LINE, "left_semi").select(*LINE, "heavy"))
+
+
+def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, own: float = OWN) -> DataFrame:
+    """id, row_key and gone (sorted places of the lines that go) of the documents that lose any."""
     rows = lines(docs, id_col, text_col, site_col)
-    marked = boilerplate(rows, min_sites, varied)
-    here = F.struct("id", "row_key", "place")
-    gone = rows.join(marked.select("h1", "h2", "first"), ["h1", "h2"]).where(here != F.col("first"))
-    gone = gone.groupBy("id", "row_key").agg(F.sort_array(F.collect_set("place")).alias("gone"))
-    keyed = docs.withColumn("row_key", F.xxhash64(text_col))
-    joined = keyed.join(gone.withColumnRenamed("id", "gone_id").withColumnRenamed("row_key", "gone_key"), F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left")
-    size = F.size("all_lines")
-    starts = F.concat(F.array(F.lit(1)), F.transform("gone", lambda p: p + 2))
-    ends = F.concat(F.transform("gone", lambda p: p), F.array(size))
-    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("from"), ends.alias("to")), lambda s: F.slice("all_lines", s["from"], s["to"] - s["from"] + 1)))
-    out = joined.withColumn("all_lines", F.split(text_col, "\n", -1))
-    columns = [F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.coalesce(size, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    often = stored(rows.groupBy(*LINE).agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "place")).alias("first")).where(F.col("n") >= min_sites), "often")
+    total = rows.agg(F.count("*")).first()[0]
+    counted = often.select(*LINE, (F.col("n") > total / HEAVY).alias("heavy"))
+    wide = stored(spread(of_lines(rows, counted), counted, min_sites), "widespread")
+    # a document's widespread lines, and whether it is a page of its own
+    found = of_lines(rows, wide).groupBy(*DOC, "site", "lines").agg(F.collect_set(F.struct("place", *LINE)).alias("at"))
+    found = stored(found.withColumn("own", F.size("at") <= (1 - own) * F.col("lines")), "found")
+    each = found.select(*DOC, "site", "own", F.explode("at").alias("x")).select(*DOC, "site", "own", "x.*")
+    bad = spread(each.where("own"), wide, min_sites).join(often.select(*LINE, "first"), LINE)
+    gone = of_lines(each, bad).where(F.struct(*DOC, "place") != F.col("first"))
+    return gone.groupBy(*DOC).agg(F.sort_array(F.collect_set("place")).alias("gone"))
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, own: float = OWN) -> DataFrame:
+    """docs with boilerplate lines taken out of the text, and n_lines and n_removed; one shuffle moves the texts."""
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    key, gone_id, gone_key, gone, split = unused(docs.columns, "row_key", "gone_id", "gone_key", "gone", "split_lines")
+    marked = boilerplate(docs, id_col, text_col, site_col, min_sites, own).select(F.col("id").alias(gone_id), F.col("row_key").alias(gone_key), F.col("gone").alias(gone))
+    keyed = docs.withColumn(key, _row_key(text_col))
+    joined = keyed.join(marked, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left").withColumn(split, F.split(text_col, "\n", -1))
+    size = F.size(split)
+    starts = F.concat(F.array(F.lit(1)), F.transform(gone, lambda p: p + 2))
+    ends = F.concat(F.col(gone), F.array(size))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("from"), ends.alias("to")), lambda s: F.slice(split, s["from"], s["to"] - s["from"] + 1)))
+    cleaned = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    columns = [cleaned.alias(c) if c == text_col else F.col(c) for c in kept_columns]
+    return joined.select(*columns, F.coalesce(size, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
