@@ -3,24 +3,34 @@
 The test items are the indexed side and every passage of every training text
 is a query.  Impacts are BM25 weights divided by the item's score against
 itself, so an item's score for a passage is 1 when the passage holds all of
-it; items are kept in blocks, and each posting list has its largest impact in
-every block.  A passage looks only at blocks whose summed largest impacts
-reach the threshold, and inside those only at items whose own bound does;
-all items at or above the threshold are retrieved.  Each retrieved pair is
-then verified: the item's question (its first sentences) and answer (its last)
-must both lie in the text, in order, word for word but for a small share.
+it.  A posting list keeps its largest impact, and the largest of each block of
+items that it reaches.  A passage whose terms' largest impacts reach the
+threshold is searched: cursors over the posting lists stand in order of item,
+the *pivot* is the first item whose bound reaches the threshold, lists skip to
+it if the block's bound does too and beyond the block if not.  All items at or
+above the threshold are retrieved.  Each retrieved pair is then verified: the
+item's question (its first sentences) and answer (its last) must both lie in
+the text, in order, word for word but for a small share.
 
-The index is broadcast in shards of bounded size: items are dealt to as many
-shards as their text needs and each shard makes one pass over the texts.
+The index is made by Spark: document frequencies, mean length and longest item
+come from all items, and the postings are dealt to shards of bounded size, each
+built in a task.  The driver hands a shard on as a broadcast and each shard
+makes one pass over the texts.  As nothing but the postings depends on the
+shard, the results are the same for any number of them.
 
 Rows: null and empty texts give no pairs; texts are read whole, as windows
 that overlap by more than the longest item; items without words are never
-found; repeated items are found each.
+found, nor are null items; an item id that comes with several texts is found
+by any of them, with its best overlaps, repeated rows are found once; rows of
+docs that repeat give a row each, a null id is an id.  Other columns of docs
+pass through ``clean`` whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +40,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Items of so many characters in all make one broadcast shard.
-SHARD_CHARS = 16_000_000
+from voxtide.llm.common import alone, arrow_schema, record_batch, stored, unused
+
+#: Postings of one broadcast shard: about 60 MB of a task's and of the driver's memory.
+SHARD_POSTINGS = 500_000
 BLOCK, K1, B, THRESHOLD = 4, 1.2, 0.3, 0.5
-#: Entries of the largest-impact table that is kept whole.
-TABLE = 4_000_000
+#: Entries of a shard's table of block bounds that is kept beside the lists, 16 MB.
+TABLE = 2_000_000
+#: Room for rounding in comparisons with a threshold.
+NONE = 1e-9
 #: Share of an item's question and of its answer that must be found.
 OVERLAP, ANSWER_OVERLAP = 0.7, 0.5
 #: Words in a run that counts as found.
@@ -63,60 +78,101 @@ def runs(tokens: list[str], size: int) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings of one shard: per term, item numbers and impacts, and the largest impact in every block."""
+    """Postings of one shard, a list after another: item numbers and impacts, and the largest impact of each block that a list reaches."""
 
-    ids: list[int]
+    ids: list
+    texts: list[str]
     terms: dict[str, int]
-    items: list[np.ndarray]
-    impacts: list[np.ndarray]
-    tops: list[np.ndarray]  # per term, by block
-    top: np.ndarray  # per term, over all blocks; one more entry, 0, for words of no item
-    parts: list[tuple[list[str], list[str]]]
+    start: np.ndarray  # of each term's postings, and the end of all
+    items: np.ndarray
+    impacts: np.ndarray
+    block_start: np.ndarray
+    blocks: np.ndarray
+    block_tops: np.ndarray
+    top: np.ndarray  # per term; one more entry, 0, for words of no item
     longest: int
-    table: np.ndarray | None = None  # tops as one table where it is small
+    table: np.ndarray | None = None  # the blocks' largest impacts, terms x blocks, where that is small
+
+    @classmethod
+    def build(cls, rows: list[tuple], longest: int) -> Index:
+        """From (item, text, terms, impacts before division) of each item."""
+        terms: dict[str, int] = {}
+        term, impact = [], []
+        for _, _, own, raw in rows:
+            term += [terms.setdefault(w, len(terms)) for w in own]
+            impact += list(np.array(raw) / sum(raw))
+        owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        term, impact = np.array(term, np.int64), np.array(impact)
+        order = np.lexsort((owner, term))
+        term, owner, impact = term[order], owner[order], impact[order]
+        start = np.searchsorted(term, np.arange(len(terms) + 1))
+        key = term * (len(rows) // BLOCK + 1) + owner // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        tops = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
+        top = np.append(np.maximum.reduceat(impact, start[:-1]) if len(terms) else np.zeros(0), 0.0)
+        n = len(rows) // BLOCK + 1
+        made = cls([r[0] for r in rows], [r[1] for r in rows], terms, start, owner.astype(np.int32), impact, np.searchsorted(term[first], np.arange(len(terms) + 1)), (owner[first] // BLOCK).astype(np.int32), tops, top, longest)
+        if len(terms) * n <= TABLE:
+            made.table = np.zeros((len(terms), n))
+            made.table[term[first], made.blocks] = tops
+        return made
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str]) -> Index:
+    def of(cls, ids: list, texts: list[str]) -> Index:
+        """One shard of all items, without Spark."""
         bags = [Counter(words(t)) for t in texts]
-        n, mean = len(bags), max(1.0, float(np.mean([sum(b.values()) for b in bags] or [1])))
+        sizes = [sum(b.values()) for b in bags]
         df = Counter(w for b in bags for w in b)
-        idf = {w: float(np.log(1 + (n - k + 0.5) / (k + 0.5))) + 0.05 for w, k in df.items()}
-        terms = {w: i for i, w in enumerate(df)}
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, b in enumerate(bags):
-            norm = K1 * (1 - B + B * sum(b.values()) / mean)
-            raw = {w: idf[w] * c * (K1 + 1) / (c + norm) for w, c in b.items()}
-            whole = sum(raw.values())
-            for w, x in raw.items():
-                postings[terms[w]].append((i, x / whole))
-        items = [np.array([i for i, _ in p], np.int64) for p in postings]
-        impacts = [np.array([x for _, x in p]) for p in postings]
-        tops = []
-        for i, x in zip(items, impacts, strict=True):
-            top = np.zeros(n // BLOCK + 1)
-            np.maximum.at(top, i // BLOCK, x)
-            tops.append(top)
-        return cls(ids, terms, items, impacts, tops, np.array([t.max() for t in tops] + [0.0]), [question_and_answer(t) for t in texts], max([sum(b.values()) for b in bags] or [1]), np.stack(tops) if tops and len(tops) * len(tops[0]) <= TABLE else None)
+        used = [i for i, n in enumerate(sizes) if n]
+        mean = float(np.mean([sizes[i] for i in used] or [1]))
+        rows = [(ids[i], texts[i], sorted(bags[i]), [weight(bags[i][w], df[w], len(used), sizes[i], mean) for w in sorted(bags[i])]) for i in used]
+        return cls.build(rows, max(sizes, default=1))
+
+    def bounds(self, query: np.ndarray) -> np.ndarray:
+        """Of each block, the sum of the query terms' largest impacts in it."""
+        if self.table is not None:
+            return self.table[query].sum(0)
+        parts = [slice(self.block_start[t], self.block_start[t + 1]) for t in query]
+        return np.bincount(np.concatenate([self.blocks[p] for p in parts]), np.concatenate([self.block_tops[p] for p in parts]))
 
     def retrieve(self, query: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
-        """Item numbers whose score for the distinct query terms reaches the threshold (block-max WAND)."""
-        query = query[np.argsort(-self.top[query])]
-        if self.top[query].sum() < threshold:
+        """Numbers of the items whose score for the distinct query terms reaches the threshold (block-max WAND)."""
+        limit = threshold - NONE
+        if self.top[query].sum() < limit:
             return []
-        bound = self.table[query].sum(0) if self.table is not None else np.sum([self.tops[t] for t in query], axis=0)
-        found = []
-        for block in np.flatnonzero(bound >= threshold):
-            score, left = np.zeros(BLOCK), float(bound[block])
-            # term by term, largest first; stop when no item of the block can still reach the threshold
-            tops = self.table[query, block] if self.table is not None else np.array([self.tops[t][block] for t in query])
-            for t, most in zip(query[tops > 0], tops[tops > 0], strict=True):
-                a, b = np.searchsorted(self.items[t], (block * BLOCK, (block + 1) * BLOCK))
-                score[self.items[t][a:b] - block * BLOCK] += self.impacts[t][a:b]
-                left -= most
-                if score.max() + left < threshold:
+        good = self.bounds(query) >= limit
+        if not good.any():
+            return []
+        good = good.tolist()
+        lists = [self.items[self.start[t] : self.start[t + 1]].tolist() for t in query]
+        at, top, found = [0] * len(lists), self.top[query].tolist(), []
+        live = list(range(len(lists)))
+        while True:
+            live = sorted((k for k in live if at[k] < len(lists[k])), key=lambda k: lists[k][at[k]])
+            bound, pivot = 0.0, -1
+            for j, k in enumerate(live):
+                bound += top[k]
+                if bound >= limit:
+                    pivot = j
                     break
-            found += [int(block) * BLOCK + int(k) for k in np.flatnonzero(score >= threshold - 1e-12)]
-        return found
+            if pivot < 0:
+                return found
+            item = lists[live[pivot]][at[live[pivot]]]
+            while pivot + 1 < len(live) and lists[live[pivot + 1]][at[live[pivot + 1]]] == item:
+                pivot += 1
+            block, below = item // BLOCK, live[: pivot + 1]
+            if not good[block]:
+                to = (block + 1) * BLOCK
+                if pivot + 1 < len(live):
+                    to = min(to, lists[live[pivot + 1]][at[live[pivot + 1]]])
+            elif lists[live[0]][at[live[0]]] == item:
+                if sum(self.impacts[self.start[query[k]] + at[k]] for k in below) >= limit:
+                    found.append(item)
+                to = item + 1
+            else:
+                to = item
+            for k in below:
+                at[k] = bisect_left(lists[k], to, at[k])
 
     def passages(self, numbers: np.ndarray) -> list[tuple[int, int]]:
         """Windows of twice the longest item, half overlapping, whose distinct terms' bounds sum to the threshold."""
@@ -136,23 +192,23 @@ class Index:
         for window in (np.minimum(at // step, last + 1), at // step - 1):
             first = (before < window * step) & (window >= 0) & (window <= last)
             bound += np.bincount(window[first], top[first], last + 2)
-        return [(int(w) * step, min(n, int(w) * step + 2 * step)) for w in np.flatnonzero(bound[: last + 1] >= THRESHOLD)]
+        return [(int(w) * step, min(n, int(w) * step + 2 * step)) for w in np.flatnonzero(bound[: last + 1] >= THRESHOLD - NONE)]
 
     def verify(self, item: int, tokens: list[str]) -> tuple[float, float]:
         """Share of the question's and of the answer's word runs that the passage holds in order."""
         out = []
-        for part in self.parts[item]:
+        for part in question_and_answer(self.texts[item]):
             wanted = runs(part, RUN)
             have = runs(tokens, min(RUN, len(part)) or 1)
             out.append(len(wanted & have) / len(wanted) if wanted else 0.0)
         return out[0], out[1]
 
-    def matches(self, text: str) -> dict[int, tuple[float, float]]:
+    def matches(self, text: str) -> dict:
         """Item id to (question overlap, answer overlap) of the verified items, best window each."""
         tokens = words(text)
         get, none = self.terms.get, len(self.terms)
         numbers = np.fromiter(map(get, tokens, repeat(none)), np.int64, len(tokens))
-        out: dict[int, tuple[float, float]] = {}
+        out: dict = {}
         for start, end in self.passages(numbers):
             query = np.unique(numbers[start:end])
             for item in self.retrieve(query[query < none]):
@@ -162,36 +218,77 @@ class Index:
         return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def weight(count: int, df: int, n: int, size: int, mean: float) -> float:
+    """BM25 weight of a term in an item."""
+    idf = float(np.log(1 + (n - df + 0.5) / (df + 0.5))) + 0.05
+    return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * size / mean))
+
+
+def shards(items: DataFrame, item_col: str = "item_id", text_col: str = "text", postings: int = SHARD_POSTINGS) -> DataFrame:
+    """shard, index (a pickled Index): the index of all items with words, in parts of about so many postings."""
+    usable = items.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
+    schema = StructType([StructField("item", items.schema[item_col].dataType), *StructType.fromDDL("text string, size int, bag map<string,int>")])
+    kinds = arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [(own, text, Counter(words(text))) for own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield record_batch([(own, text, sum(b.values()), sorted(b.items())) for own, text, b in bags if b], kinds)
+
+    bags = stored(usable.mapInArrow(count, schema), "item-bags")
+    whole = bags.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.max("size").alias("longest"), F.sum(F.size("bag")).alias("postings")).first()
+    n, mean, longest, parts = whole["n"], whole["mean"], whole["longest"], 1 + (whole["postings"] or 0) // postings
+    each = bags.select("item", "text", "size", F.explode("bag").alias("term", "count"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 0.05
+    raw = idf * F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+    weighed = each.join(df, "term").groupBy("item", "text").agg(F.sort_array(F.collect_list(F.struct("term", raw.alias("raw")))).alias("bag"))
+    dealt = weighed.select(F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("shard"), "item", "text", "bag.term", "bag.raw")
+    made = arrow_schema("shard int, index binary")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and shard != now:
+                    yield record_batch([(now, pickle.dumps(Index.build(rows, longest)))], made)
+                    rows = []
+                now = shard
+                rows.append(tuple(row))
+        if rows:
+            yield record_batch([(now, pickle.dumps(Index.build(rows, longest)))], made)
+
+    return dealt.repartition(int(parts), "shard").sortWithinPartitions("shard", "item", "text").mapInArrow(build, "shard int, index binary")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", postings: int = SHARD_POSTINGS) -> DataFrame:
     """(id, item_id, question_overlap, answer_overlap) of every text and test item that it holds."""
-    spark = docs.sparkSession
-    usable = items.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = 1 + total // SHARD_CHARS
-    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    names = [id_col, "item_id", "question_overlap", "answer_overlap"]
-    schema = f"{id_col} {kinds[0]}, item_id {kinds[1]}, question_overlap double, answer_overlap double"
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("item_id", items.schema[item_col].dataType), *StructType.fromDDL("question_overlap double, answer_overlap double")])
+    kinds = arrow_schema(schema)
 
     def search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            alone("decontam")
+            index = pickle.loads(held.value)
             for batch in batches:
                 rows = [(own.as_py(), item, q, a) for own, text in zip(batch.column(0), batch.column(1), strict=True) for item, (q, a) in sorted(index.matches(text.as_py() or "").items())]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                    yield record_batch(rows, kinds)
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    out = None
-    for shard in range(shards):
-        part = usable.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).orderBy("item", "text").collect()
-        index = Index.build([r["item"] for r in part], [r["text"] for r in part])
-        found = search(spark.sparkContext.broadcast(index))
-        out = found if out is None else out.unionAll(found)
+    made = stored(shards(items, item_col, text_col, postings), "index")
+    numbers = [r["shard"] for r in made.select("shard").orderBy("shard").collect()]
+    out = docs.sparkSession.createDataFrame([], schema)
+    for number in numbers:
+        held = docs.sparkSession.sparkContext.broadcast(bytes(made.where(F.col("shard") == number).first()["index"]))
+        out = search(held) if number == numbers[0] else out.unionAll(search(held))
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones; a text is dropped with its id and hash, found pairs are few beside docs."""
-    bad = contaminated(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text_col), items, "row", text_col).select("row").distinct()
-    return docs.join(bad, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("row"), "left_anti")
+    (row,) = unused(docs.columns, "row")
+    own = F.xxhash64(F.col(id_col), F.col(text_col))
+    bad = contaminated(docs.select(own.alias(row), text_col), items, row, text_col).select(row).distinct()
+    return docs.join(bad, own == F.col(row), "left_anti")
