@@ -4,14 +4,18 @@ The base finds assignments, access keys and long hexadecimal runs.  The method
 adds tokens that look random: two first-order Markov models over characters,
 one of random strings and one of ordinary identifiers, give each long token a
 log-likelihood ratio, and a token above the threshold is a span of kind
-``random`` if it touches no base span.  The models are trained on labelled
+``random`` if it holds a letter and touches no base span.  The models are trained on labelled
 samples taken from the documents: what the base matched is random, letter
 words are identifiers; the sample's size is bounded and only 128 x 128 counts
-come to the driver.
+come to the driver.  As base matches are mostly hexadecimal, uniform random
+strings over every usual alphabet are samples too, by their expected counts.
+A pair that no identifier has backs off to its second character's share.
 
 All of it is DataFrame functions.  Spans count code points.  Rows: a null text
-counts as empty and has no spans; texts are scanned whole; rows repeat as
-they are.
+counts as empty and has no spans; texts are scanned whole; rows repeat as they
+are, and one id with two texts is two documents; a null id is an id; an empty
+table gives no rows and trains to ratios of 0.  ``scan`` passes columns through
+whatever their names and adds base and added, replacing columns so named.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import stored
+from voxtide.llm.common import stored, unused
 
 #: The base patterns, in the order in which kinds are listed.
 PATTERNS = {
@@ -36,6 +40,10 @@ LEAST_VALUE = 6
 TOKEN, LEAST_TOKEN = r"[A-Za-z0-9+/_=-]+", 16
 #: At most so many documents give labelled samples; log-likelihood ratio from which a token is a secret, and that a character must give on average.
 SAMPLE_DOCS, RATIO, RATIO_PER_CHAR = 20_000, 12.0, 0.5
+#: Alphabets of random strings; characters of tokens; weight of an ordinary character's share beside its pairs; pairs of an alphabet at least; share of other forms of ordinary words.
+_LOWER, _UPPER, _DIGITS, _MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-"
+ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER + "+/", _DIGITS + _LOWER + _UPPER + "-_")
+CHARACTERS, SHARE, LEAST_PAIRS, ORDINARY_FORMS = len(_DIGITS + _LOWER + _UPPER + "+/_=-."), 20.0, 1000.0, 0.05
 #: Of a run of one class, only runs of the least length can match: the same matches, found without the short ones.
 _FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "random": r"[A-Za-z0-9+/_=-]{16,}"}
 
@@ -112,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     """Log-likelihood ratio of every pair of characters, from at most limit documents with base spans and as many without.
 
     The sample's keys are broadcast and pairs are counted where the texts are read.  A document is an id with a text; rows that repeat it whole count once.
-    Without samples of both labels every ratio is 0 and the method adds nothing.
+    Without ordinary samples every ratio is 0 and the method adds nothing.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(_key(id_col, text_col), text.alias("text")).join(F.broadcast(sample(docs, id_col, text_col, limit)), "key")
@@ -126,28 +134,53 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     counts = [[0.0] * (128 * 128) for _ in range(2)]
     for row in counted:
         counts[row["random"]][row["code"]] = float(row["count"])
-    if not sum(counts[0]) or not sum(counts[1]):
+    return ratios(*counts)
+
+
+def ratios(ordinary: list[float], random: list[float]) -> list[float]:
+    """Log-likelihood ratio of every pair, from the pairs' counts in both samples; 0 without ordinary ones.
+
+    A share of the ordinary words also counts as written in capitals and as joined by marks.
+    Each alphabet weighs as much as the whole sample of random strings, LEAST_PAIRS pairs at least.
+    """
+    whole = max(LEAST_PAIRS, sum(random))
+    if not sum(ordinary):
         return [0.0] * (128 * 128)
-    # random strings draw on all letters and digits whatever the sample's share of hexadecimal, hence their larger prior
-    priors, out = (0.2, 2.0), [[0.0] * (128 * 128) for _ in range(2)]
-    for label in (0, 1):
-        for a in range(128):
-            row = counts[label][a * 128 : a * 128 + 128]
-            total = sum(row) + 68 * priors[label]
-            out[label][a * 128 : a * 128 + 128] = [math.log((n + priors[label]) / total) for n in row]
-    return [r - o for o, r in zip(*out, strict=True)]
+    words = [n * (1 - ORDINARY_FORMS) for n in ordinary]
+    for a in _LOWER:
+        for b in _LOWER:
+            n = ordinary[ord(a) * 128 + ord(b)] * ORDINARY_FORMS
+            words[ord(a.upper()) * 128 + ord(b.upper())] += n
+            for mark in _MARKS:
+                for one, other in ((a, b), (a.upper(), b.upper())):
+                    words[ord(one) * 128 + ord(mark)] += n / len(_MARKS)
+                    words[ord(mark) * 128 + ord(other)] += n / len(_MARKS)
+    mixed = list(random)
+    for alphabet in ALPHABETS:
+        for a in alphabet:
+            for b in alphabet:
+                mixed[ord(a) * 128 + ord(b)] += whole / len(alphabet) ** 2
+    second = [sum(words[b :: 128]) + 0.5 for b in range(128)]
+    of = sum(second) - 0.5 * (128 - CHARACTERS)
+    out = []
+    for a in range(128):
+        one, other = words[a * 128 : a * 128 + 128], mixed[a * 128 : a * 128 + 128]
+        left, right = sum(one) + SHARE, sum(other) + 0.01 * CHARACTERS
+        out += [math.log((m + 0.01) / right) - math.log((n + SHARE * second[b] / of) / left) for b, (n, m) in enumerate(zip(one, other, strict=True))]
+    return out
 
 
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataFrame:
     """docs' columns and base, added (arrays of spans); the ratios enter the plan as one constant array."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    found = docs.withColumn("base", base_spans(text))
-    tokens = found.withColumn("tokens", _spans(text, "random", _FAST["random"]))
-    free = lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    base, tokens = unused(docs.columns, "base_spans", "tokens")
+    found = docs.withColumn(base, base_spans(text)).withColumn(tokens, _spans(text, "random", _FAST["random"]))
+    free = lambda t: t["text"].rlike("[A-Za-z]") & ~F.exists(F.col(base), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     ratio = lambda t: F.aggregate(_codes(t["text"]), F.lit(0.0), lambda acc, c: acc + F.get(table, c))
     random = lambda t: free(t) & (ratio(t) >= F.greatest(F.lit(RATIO), F.lit(RATIO_PER_CHAR) * F.length(t["text"])))
-    return tokens.withColumn("added", F.filter("tokens", random)).drop("tokens")
+    kept = [c for c in docs.columns if c not in ("base", "added")]
+    return found.select(*kept, F.col(base).alias("base"), F.filter(tokens, random).alias("added"))
 
 
 def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
