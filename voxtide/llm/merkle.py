@@ -2,16 +2,22 @@
 
 A text is cut into paragraphs at line ends, paragraphs into *leaves* (runs of
 words that end where a word's own hash says so, hence at the same places in
-any text that holds them), and paragraphs are gathered into sections that end
-at blank lines or where a paragraph's hash says so.  Every node's hash covers
-its children's, so equal roots mean equal texts, and descending only into
-branches that differ finds the edits.  A fingerprint is the root followed by
-the leaves' short hashes and lengths; its likeness to another is the share of
-both texts' characters in leaves that both have (a weighted Dice index).
+any text that holds them), and paragraphs are gathered into sections that end at blank
+lines or where a paragraph's hash says so.  Every node's hash covers its
+children's, so equal roots mean equal texts.  A fingerprint is the root
+followed by the tree: each section's hash and number of paragraphs, each
+paragraph's hash and number of leaves, each leaf's hash and length.
+
+Two trees are compared from the top: branches that both have are alike as a
+whole and are not entered, the others' children are compared next.  What is
+left are the leaves that one tree lacks; they locate the edits, and the share
+of characters outside them is the likeness.
 
 Rows: a null text counts as empty; two empty texts are alike (1.0), an empty
 and another text are not (0.0).  Long texts give long trees, never prefixes.
-Repeated ids are ordered by text.
+Rows that repeat an id are ordered by text, a null id comes first; ids that
+are no integers are ordered as strings.  Other columns are left out whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructField, StructType
 
-from voxtide.llm.common import Remembered, shuffle_partitions
+from voxtide.llm.common import Remembered, alone, arrow_schema, record_batch, shuffle_partitions
 
 #: One word in so many ends a leaf; one paragraph in so many ends a section.
 WORDS_PER_LEAF, PARAGRAPHS_PER_SECTION = 6, 4
@@ -76,44 +83,81 @@ def tree(text: str) -> list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int
 
 
 def fingerprint(text: str) -> str:
-    """Root in hex, a colon, then five bytes a leaf in base64."""
+    """Root in hex, a colon, and the tree in base64: numbers of sections and paragraphs, then (four bytes of hash, number) of every section, paragraph and leaf."""
     sections = tree(text)
     root = _hash(b"d" + b"".join(h for h, _ in sections), 16)
-    packed = b"".join(h[:4] + bytes([min(n, 255)]) for _, paragraphs in sections for _, parts in paragraphs for h, n in parts)
+    paragraphs = [x for _, own in sections for x in own]
+    rows = [(h, len(own)) for h, own in [*sections, *paragraphs]] + [x for _, own in paragraphs for x in own]
+    packed = np.array([len(sections), len(paragraphs)], "<u4").tobytes() + b"".join(h[:4] + n.to_bytes(4, "little") for h, n in rows)
     return f"{root.hex()}:{base64.b64encode(packed).decode()}"
 
 
+class Tree:
+    """A fingerprint read back: per level hashes, characters and the node above; where each leaf begins."""
+
+    def __init__(self, text: str):
+        data = np.frombuffer(base64.b64decode(text[33:]), "<u4")
+        n, m = int(data[0]), int(data[1])
+        hashes, numbers = data[2::2], data[3::2].astype(np.int64)
+        self.hashes = [hashes[:n], hashes[n : n + m], hashes[n + m :]]
+        leaf = numbers[n + m :]
+        of_section, of_paragraph = np.repeat(np.arange(n), numbers[:n]), np.repeat(np.arange(m), numbers[n : n + m])
+        in_paragraph = np.bincount(of_paragraph, leaf, m)
+        self.above = [np.zeros(n, np.int64), of_section, of_paragraph]
+        self.chars = [np.bincount(of_section, in_paragraph, n), in_paragraph, leaf]
+        # a line end stands between paragraphs
+        self.begin = np.cumsum(leaf) - leaf + of_paragraph
+
+
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a have a partner in b, each of b serving one."""
+    order, other = np.argsort(a, kind="stable"), np.sort(b)
+    ordered = a[order]
+    rank = np.arange(len(a)) - np.searchsorted(ordered, ordered)
+    have = np.searchsorted(other, ordered, "right") - np.searchsorted(other, ordered)
+    out = np.empty(len(a), bool)
+    out[order] = rank < have
+    return out
+
+
+def descend(one: Tree, other: Tree) -> tuple[float, np.ndarray, np.ndarray]:
+    """(characters that both have, leaves of one that other lacks, leaves of other that one lacks): branches that both have are not entered."""
+    open_ = [np.ones(1, bool), np.ones(1, bool)]
+    same = 0.0
+    for level in range(3):
+        here = [np.flatnonzero(o[t.above[level]]) for t, o in zip((one, other), open_, strict=True)]
+        keys = [t.hashes[level][h] for t, h in zip((one, other), here, strict=True)]
+        met = _met(*keys), _met(*keys[::-1])
+        same += float(one.chars[level][here[0][met[0]]].sum())
+        open_ = []
+        for t, h, m in zip((one, other), here, met, strict=True):
+            left = np.zeros(len(t.hashes[level]), bool)
+            left[h[~m]] = True
+            open_.append(left)
+    return same, np.flatnonzero(open_[0]), np.flatnonzero(open_[1])
+
+
 def likeness(one: str, other: str) -> float:
-    """Share of characters in common leaves, 0 to 1; 1.0 if the roots are equal."""
+    """Share of both texts' characters in branches that both have, 0 to 1; 1.0 if the roots are equal."""
     if one[:32] == other[:32]:
         return 1.0
-    sums = []
-    for text in (one, other):
-        rows = np.frombuffer(base64.b64decode(text[33:]), np.uint8).reshape(-1, 5)
-        keys, at = np.unique(rows[:, :4].copy().view("<u4").ravel(), return_inverse=True)
-        sums.append((keys, np.bincount(at, rows[:, 4].astype(float), len(keys))))
-    (a, m), (b, n) = sums
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    same = float(np.minimum(m[i], n[j]).sum())
-    total = float(m.sum() + n.sum())
-    return 2 * same / total if total else 0.0
+    a, b = Tree(one), Tree(other)
+    total = float(a.chars[2].sum() + b.chars[2].sum())
+    return 2 * descend(a, b)[0] / total if total else 0.0
 
 
 def edits(one: str, other: str) -> list[tuple[int, int]]:
-    """Character ranges of ``one`` in leaves that ``other`` lacks, found by descending into differing branches."""
-    there = tree(other)
-    have = {h for h, _ in there}, {h for _, ps in there for h, _ in ps}, {h for _, ps in there for _, ls in ps for h, _ in ls}
-    out, at = [], 0
-    for section, paragraphs in tree(one):
-        for paragraph, parts in paragraphs:
-            for leaf, size in parts:
-                if section not in have[0] and paragraph not in have[1] and leaf not in have[2]:
-                    if out and out[-1][1] == at:
-                        out[-1] = (out[-1][0], at + size)
-                    else:
-                        out.append((at, at + size))
-                at += size
-            at += 1
+    """Character ranges of the text of fingerprint ``one`` in leaves that ``other`` lacks, neighbours joined."""
+    if one[:32] == other[:32]:
+        return []
+    tree_ = Tree(one)
+    lacking = descend(tree_, Tree(other))[1]
+    out: list[tuple[int, int]] = []
+    for start, size in zip(tree_.begin[lacking].tolist(), tree_.chars[2][lacking].tolist(), strict=True):
+        if out and out[-1][1] == start:
+            out[-1] = (out[-1][0], start + size)
+        else:
+            out.append((start, start + size))
     return out
 
 
@@ -122,6 +166,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
+        alone("merkle", _ENDS)
         return texts.map(lambda t: fingerprint(t or ""))
 
     found = docs.select(id_col, of(F.coalesce(text_col, F.lit(""))).alias("fingerprint"))
@@ -135,10 +180,12 @@ def equal_classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def branches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every node: id, level (section, paragraph, leaf), path, start, end, hash; join two versions on path and hash to compare."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """Every node: the id under its own name, level (section, paragraph, leaf), path, start, end, hash; join two versions on path and hash to compare."""
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), *StructType.fromDDL("level string, path string, start long, end long, hash string")])
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("merkle", _ENDS)
         for batch in batches:
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, at = [], 0
@@ -152,29 +199,36 @@ def branches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         rows.append((own, "paragraph", f"{i}.{j}", start, at, paragraph.hex()))
                         at += 1
                     rows.append((own, "section", f"{i}", begun, at - 1, section.hex()))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "level", "path", "start", "end", "hash"])
+                yield record_batch(rows, kinds)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, level string, path string, start long, end long, hash string")
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str):
-    """(rows, parts): docs dealt by ranges of the id, each range followed by the next one's first rows.
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs (id, key, text, bucket, kind) dealt by ranges of the id, each range followed by the next one's first rows.
 
     One shuffle carries the texts.  Range bounds and each range's least id (a
     few numbers a task) are found first from the ids alone; the rows of that
     least id are sent to the range before as well (kind 1), and the rows of
     the very first to the last range (kind 2).
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) if whole else F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = rows.select("key")
-    parts = max(shuffle_partitions(spark), math.ceil(keys.count() / ROWS_PER_TASK))
-    cuts = keys.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = np.unique(np.array([int(c) for c in cuts], np.int64))
+    n = keys.count()
+    parts = max(shuffle_partitions(docs.sparkSession), math.ceil(n / ROWS_PER_TASK))
+    # bounds from ids of chosen hash, some 64 a range
+    chosen = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (64 * parts)))) == 0).toPandas()["key"]
+    ordered = np.sort(chosen.to_numpy(np.int64 if whole else object))
+    bounds = np.unique(ordered[[len(ordered) * i // parts for i in range(1, parts)]]) if len(ordered) else ordered
+
+    def find(key: pd.Series) -> np.ndarray:
+        return np.searchsorted(bounds, key.to_numpy(np.int64 if whole else object), "right").astype(np.int32)
 
     @F.pandas_udf("int")
     def home(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "right").astype(np.int32))
+        return pd.Series(find(key))
 
     heads = sorted((r.bucket, r.key) for r in keys.select(home("key").alias("bucket"), "key").groupBy("bucket").agg(F.min("key").alias("key")).collect())
     before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads) if i}
@@ -182,12 +236,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str):
 
     @F.pandas_udf("array<int>")
     def places(key: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, key.to_numpy(np.int64), "right")
-        return pd.Series([[int(b) * 4] + ([before[k] * 4 + 1] if k in before else []) + ([last * 4 + 2] if k == first else []) for b, k in zip(own, key, strict=True)])
+        return pd.Series([[int(b) * 4] + ([before[k] * 4 + 1] if k in before else []) + ([last * 4 + 2] if k == first else []) for b, k in zip(find(key), key, strict=True)])
 
     dealt = rows.withColumn("place", F.explode(places("key"))).withColumn("bucket", F.floor(F.col("place") / 4).cast("int")).withColumn("kind", F.col("place") % 4).drop("place")
-    order = ["bucket", (F.col("kind") == 2), "key", "text", "kind"]
-    return dealt.repartition(parts, "bucket").sortWithinPartitions(*order)
+    order = ["bucket", (F.col("kind") == 2), "key", F.col("id").isNotNull(), "text", "kind"]
+    return dealt.repartitionByRange(parts, "bucket").sortWithinPartitions(*order)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -197,11 +250,12 @@ def edited_text(text: str, following: str) -> str:
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprint of each text and of its edited text, and the likenesses of both and of the next text's."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    """Fingerprint of each text and of its edited text, the likenesses of both and of the next text's, and where the first differs from the edited one."""
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *StructType.fromDDL("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_edits long, first_edit long")])
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("merkle", _ENDS)
         held = None
         for batch in batches:
             rows = []
@@ -212,10 +266,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     changed = edited_text(held[1], text)
                     other = fingerprint(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((held[0], len(held[1]), digest, held[3], other, likeness(held[3], other), likeness(held[3], now)))
+                    found = edits(held[3], other)
+                    rows.append((held[0], len(held[1]), digest, held[3], other, likeness(held[3], other), likeness(held[3], now), len(found), found[0][0] if found else None))
                 held = (own.as_py(), text, bucket, now, place)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                yield record_batch(rows, kinds)
 
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, id_col, text_col).mapInArrow(run, schema)
