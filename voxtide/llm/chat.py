@@ -8,10 +8,15 @@ begins, a -1 where it ends, summed up).  Control strings inside a role or a
 text are escaped reversibly: ``<``, any backslashes, ``|`` gain one backslash,
 so no text holds ``<|`` and unescaping takes one away.
 
+The formatted table has one row a turn (``format_turns``); in order of turn
+the rows are the conversation.  ``read_turns`` reads them back where they lie,
+``digests`` streams what was read through the task of its conversation, a turn
+at a time, as a digest needs its order.
+
 Rows: a null text or role counts as empty, a null turn sorts first, equal
-turns are ordered by role and text, an empty table gives no rows.  Turns
-stream through the task of their conversation one at a time, so a long
-conversation needs no more memory than its longest turn.
+turns are ordered by role and then by their tokens, rows that repeat are turns
+each, a null conv_id is a conversation, an empty table gives no rows.  Only
+the columns conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from voxtide.llm import bpe
+from voxtide.llm.common import arrow_schema, record_batch, stored
 
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -84,53 +91,71 @@ class Formatter:
         return out
 
 
+def _typed(turns: DataFrame, more: str, *names: str) -> StructType:
+    """Columns of turns and then more, a DDL string."""
+    return StructType([*(StructField(n, turns.schema[n].dataType) for n in names), *StructType.fromDDL(more)])
+
+
 def format_turns(turns: DataFrame, vocab, pattern: str) -> DataFrame:
-    """Each row's conv_id, turn, role and its ids (array<int>) and mask (array<tinyint>); joined by turn they are the conversation."""
-    kinds = [turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+    """Each row's conv_id, turn, role and its ids (binary, little-endian uint32) and mask (binary, a byte an id); in order of turn they are the conversation."""
+    schema = _typed(turns, "role string, ids binary, mask binary", "conv_id", "turn")
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Formatter(bpe.codec(vocab.value, pattern))
         for batch in batches:
             done = [own.turn(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            ids = pa.array([x[0].astype(np.int32) for x in done], pa.list_(pa.int32()))
-            masks = pa.array([x[1] for x in done], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, masks], ["conv_id", "turn", "role", "ids", "mask"])
+            ids, masks = (pa.array([x[k].tobytes() for x in done], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, masks], schema=kinds)
 
-    chosen = turns.select("conv_id", "turn", "role", "text")
-    return chosen.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, ids array<int>, mask array<tinyint>")
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, schema)
 
 
-def read_back(turns: DataFrame, vocab, pattern: str) -> DataFrame:
-    """Format every conversation, read the turns back from its tokens, and digest what was read."""
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
+def read_turns(formatted: DataFrame, vocab, pattern: str) -> DataFrame:
+    """conv_id, turn, ids of a formatted table and what its tokens say: said_role, said, lost (text under the mask), formatted_chars, n_tokens, loss_tokens."""
+    schema = _typed(formatted, "ids binary, said_role string, said string, lost string, formatted_chars long, n_tokens long, loss_tokens long", "conv_id", "turn")
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Formatter(bpe.codec(vocab.value, pattern))
+        for batch in batches:
+            rows = []
+            for conv, turn, packed, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, mask = np.frombuffer(packed, "<u4"), np.frombuffer(loss, np.int8)
+                rows += [(conv, turn, packed, role, text, lost, chars, len(ids), int(mask.sum())) for role, text, lost, chars in own.read(ids, mask)]
+            yield record_batch(rows, kinds)
+
+    return formatted.select("conv_id", "turn", "ids", "mask").mapInArrow(run, schema)
+
+
+def digests(read: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_tokens of every conversation of read_turns."""
+    schema = _typed(read, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long", "conv_id")
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, began = None, False
+        close = lambda: (now, sums[0], turn_hash.hexdigest(), sums[1], loss_hash.hexdigest(), *sums[2:])
         for batch in batches:
             rows = []
-            for conv, role, text in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
-                conv = conv.as_py()
+            for conv, role, text, lost, chars, size, masked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not began or conv != now:
                     if began:
-                        rows.append(close(now, sums, turn_hash, loss_hash))
+                        rows.append(close())
                     now, began = conv, True
                     sums, turn_hash, loss_hash = [0] * 5, hashlib.sha256(), hashlib.sha256()
-                ids, mask = own.turn(role.as_py() or "", text.as_py() or "")
-                for got_role, got_text, lost, chars in own.read(ids, mask):
-                    turn_hash.update(f"{got_role}\n{got_text}\n".encode("utf-8", "surrogatepass"))
-                    loss_hash.update(lost.encode("utf-8", "surrogatepass"))
-                    sums = [a + b for a, b in zip(sums, (1, len(lost), chars, len(ids), int(mask.sum())), strict=True)]
+                turn_hash.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                loss_hash.update(lost.encode("utf-8", "surrogatepass"))
+                sums = [a + b for a, b in zip(sums, (1, len(lost), chars, size, masked), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                yield record_batch(rows, kinds)
         if began:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in close(now, sums, turn_hash, loss_hash)], names)
+            yield record_batch([close()], kinds)
+
+    dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "said_role", "ids")
+    return dealt.select("conv_id", "said_role", "said", "lost", "formatted_chars", "n_tokens", "loss_tokens").mapInArrow(run, schema)
 
-    def close(conv, sums, turn_hash, loss_hash):
-        turns_n, loss_chars, chars, tokens, loss_tokens = sums
-        return conv, turns_n, turn_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars, tokens, loss_tokens
 
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+def read_back(turns: DataFrame, vocab, pattern: str) -> DataFrame:
+    """Format every conversation into a stored table, read the turns back from its tokens, and digest what was read."""
+    return digests(read_turns(stored(format_turns(turns, vocab, pattern), "formatted"), vocab, pattern))
