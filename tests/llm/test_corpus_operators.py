@@ -100,6 +100,26 @@ def test_near_classes_on_hubs_and_chains(spark):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(docs)
 
 
+def test_stragglers_of_a_hot_group(spark, monkeypatch):
+    """Copies of one text with many edits each, some shared: most are apart from it and from each other, some are alike in pairs; blocks are small."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    hub, docs = [word() for _ in range(150)], []
+    for _ in range(120):
+        copy = [w for k, w in enumerate(hub) if k not in set(rng.choice(150, int(rng.integers(1, 12)), replace=False))]
+        docs.append(" ".join(copy))
+        if rng.random() < 0.3:
+            copy[int(rng.integers(len(copy)))] = word()
+            docs.append(" ".join(copy))
+        if rng.random() < 0.2:
+            docs.append(" ".join(copy[: int(len(copy) * rng.uniform(0.5, 1))]))
+    docs = list(enumerate(docs))
+    monkeypatch.setattr(bagminhash, "BLOCK_BYTES", 20_000)
+    got = bagminhash.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute_classes(docs)
+    assert {r.doc_id: r.class_id for r in got} == want and 5 < len(set(want.values())) < len(docs) - 20
+
+
 def test_op2(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
     got = {r.doc_id: r.class_id for r in queries.op2_near_dedup(spark, SMALL).collect()}
@@ -163,18 +183,59 @@ def test_pitman_yor_edge_rows(spark, edge):
     assert len(empty) == len(EDGE) and all(math.isfinite(r.score) and r.n_known == 0 for r in empty)
 
 
+def scores_by_hand(items, query):
+    """BM25 of each item for a set of words over its score for itself, 0 for items without words."""
+    bags = [Counter(decontam.words(t)) for t in items]
+    used = [b for b in bags if b]
+    mean, df = np.mean([sum(b.values()) for b in used]), Counter(w for b in used for w in b)
+
+    def of(b, chosen):
+        norm = decontam.K1 * (1 - decontam.B + decontam.B * sum(b.values()) / mean)
+        return sum((math.log(1 + (len(used) - df[w] + 0.5) / (df[w] + 0.5)) + 0.05) * c * (decontam.K1 + 1) / (c + norm) for w, c in b.items() if w in chosen)
+
+    return [of(b, query) / of(b, b) if b else 0.0 for b in bags]
+
+
 def test_wand_equals_scoring_all():
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(80)]
     texts = [" ".join(rng.choice(vocabulary, 12)) for _ in range(100)]
-    index = decontam.Index.build(list(range(100)), texts)
+    index = decontam.Index.of(list(range(100)), texts)
     for _ in range(200):
-        query = np.unique(rng.choice(len(index.terms), 15))
-        score = np.zeros(100)
-        for t in query:
-            score[index.items[t]] += index.impacts[t]
+        chosen = set(rng.choice(vocabulary, 15))
+        query = np.unique([index.terms[w] for w in chosen])
+        score = np.array(scores_by_hand(texts, chosen))
         for threshold in (0.3, 0.5):
-            assert index.retrieve(query, threshold) == np.flatnonzero(score >= threshold - 1e-12).tolist()
+            assert index.retrieve(query, threshold) == np.flatnonzero(score >= threshold - 1e-9).tolist()
+
+
+def matches_by_hand(text, items):
+    """Every window against every item by its score, then the overlaps."""
+    tokens, longest = decontam.words(text), max(len(decontam.words(t)) for _, t in items)
+    index = decontam.Index.of([i for i, _ in items], [t for _, t in items])
+    found = {}
+    for start in range(0, max(1, len(tokens)), longest):
+        part = tokens[start : start + 2 * longest]
+        for k, score in enumerate(scores_by_hand([t for _, t in items], set(part))):
+            if score >= decontam.THRESHOLD - 1e-9:
+                question, answer = index.verify(k, part)
+                if question >= decontam.OVERLAP and answer >= decontam.ANSWER_OVERLAP:
+                    found[items[k][0]] = max(found.get(items[k][0], (0, 0)), (question, answer))
+        if start + 2 * longest >= len(tokens):
+            break
+    return found
+
+
+def test_decontamination_is_the_same_in_shards(spark):
+    small = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    held = [(r.item_id, r.text) for r in items.orderBy("item_id").collect()]
+    planted = spark.createDataFrame([(-1 - i, f"before it {t} and after") for i, (_, t) in enumerate(held[:40])], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").orderBy("doc_id").limit(60).unionAll(planted)
+    one, two, many = (sorted(map(tuple, decontam.contaminated(docs, items, postings=n).collect())) for n in (500_000, 900, 150))
+    assert one == two == many and decontam.shards(items, postings=150).count() >= 8 > decontam.shards(items, postings=900).count() >= 2
+    wanted = [(r.doc_id, i, q, a) for r in docs.collect() for i, (q, a) in matches_by_hand(r.text or "", held).items()]
+    assert one == sorted(wanted) and len(one) >= 40
 
 
 def test_op9(spark):
@@ -225,17 +286,20 @@ def key_of(own, text):
 
 def brute_lines(docs):
     """The documents (id, text, source and others) without boilerplate lines."""
-    sites, arounds, n, first = {}, {}, Counter(), {}
+    sites, first, wide_in = {}, {}, {}
+    split = lambda text: [] if text is None else text.split("\n")
     for own, text, source, *_ in docs:
-        split = [] if text is None else text.split("\n")
-        for at, line in enumerate(split):
+        for at, line in enumerate(split(text)):
             if line.strip(" "):
-                around = (split[at - 1] if at else "\n", split[at + 1] if at + 1 < len(split) else "\n")
                 sites.setdefault(line, set()).add(source)
-                arounds.setdefault(line, set()).add(around)
-                n[line] += 1
                 first[line] = min(first.get(line, (key_of(own, text), at)), (key_of(own, text), at))
-    bad = {x for x in n if len(sites[x] - {None}) >= linedup.MIN_SITES and len(arounds[x]) >= linedup.VARIED * n[x]}
+    wide = {x for x in sites if len(sites[x] - {None}) >= linedup.MIN_SITES}
+    for _, text, source, *_ in docs:
+        filled = [x for x in split(text) if x.strip(" ")]
+        if sum(x in wide for x in filled) <= (1 - linedup.OWN) * len(filled):
+            for line in set(filled) & wide:
+                wide_in.setdefault(line, set()).add(source)
+    bad = {x for x in wide_in if len(wide_in[x] - {None}) >= linedup.MIN_SITES}
     keep = lambda own, text: text and "\n".join(x for at, x in enumerate(text.split("\n")) if x not in bad or first[x] == (key_of(own, text), at))
     return [(own, keep(own, text), *more) for own, text, *more in docs]
 
@@ -261,7 +325,7 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     classes = brute_classes(sorted((key_of(d[0], d[1]), d[1] or "") for d in lined))
     single = {key_of(d[0], d[1]): d for d in sorted(lined, key=repr) if classes[key_of(d[0], d[1])] == key_of(d[0], d[1])}
     items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id", "text").collect()
-    index = decontam.Index.build([r.item_id for r in items], [r.text for r in items])
+    index = decontam.Index.of([r.item_id for r in items], [r.text for r in items])
     wanted = [(own, text, source, lang) for own, text, source, lang, _ in single.values() if not index.matches(text or "")]
     assert sorted(map(repr, got)) == sorted(map(repr, wanted))
     ids = Counter(r[0] for r in wanted)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxtide.llm import bpe, chat, gam, linedup, merkle, queries, secrets, toxicity
+from voxtide.llm import bagminhash, bpe, chat, decontam, gam, linedup, merkle, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -121,21 +121,49 @@ def test_merkle_roots_and_edits():
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1.0
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint(text)) == 0.0
     changed = text.replace("other", "OTHER")
-    (start, end), *more = merkle.edits(text, changed)
+    (start, end), *more = merkle.edits(merkle.fingerprint(text), merkle.fingerprint(changed))
     assert not more and start <= text.index("other") < end and end - start < len(text)
     assert all("".join(merkle.leaves(p)) == p for p in LONG.split("\n")[-2:])
 
 
+def likeness_by_hand(one, other):
+    """Recursively: what both lists of branches have counts whole, the rest's children are compared."""
+    size = lambda node: node[1] if isinstance(node[1], int) else sum(map(size, node[1]))
+
+    def common(a, b):
+        left, right, same = [], list(b), 0
+        for node in a:
+            k = next((k for k, x in enumerate(right) if x[0] == node[0]), None)
+            if k is None:
+                left.append(node)
+            else:
+                same += size(right.pop(k))
+        if left and right and not isinstance(left[0][1], int):
+            same += common([c for n in left for c in n[1]], [c for n in right for c in n[1]])
+        return same
+
+    if one == other:
+        return 1.0
+    a, b = merkle.tree(one), merkle.tree(other)
+    total = sum(map(size, a)) + sum(map(size, b))
+    return 2 * common(a, b) / total if total else 0.0
+
+
 def test_op3(spark):
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = {r.doc_id: r for r in queries.op3_merkle(spark, SF).collect()}
     assert len(got) == len(docs)
     for i, (own, text) in enumerate(docs):
-        changed = merkle.edited_text(text, docs[(i + 1) % len(docs)][1])
+        following = docs[(i + 1) % len(docs)][1]
+        changed = merkle.edited_text(text, following)
         r = got[own]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         assert r.fingerprint == merkle.fingerprint(text) and r.edited_fingerprint == merkle.fingerprint(changed)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.near_edited == pytest.approx(likeness_by_hand(text, changed)) and r.near_next == pytest.approx(likeness_by_hand(text, following))
+        kept = len(text) - len(text) // 2
+        assert (r.n_edits == 0) == (text == changed) or text[:kept] == changed  # an edit that only cuts lacks leaves or none
+        if r.first_edit is not None:
+            assert r.first_edit <= next((k for k in range(len(text)) if text[k : k + 1] != changed[k : k + 1]), len(text))
 
 
 def test_merkle_edge_rows(spark, edge):
@@ -147,6 +175,22 @@ def test_merkle_edge_rows(spark, edge):
     prints = merkle.fingerprint_documents(edge)
     assert {(r.doc_id, r.class_id) for r in merkle.equal_classes(prints).collect()} >= {(1, 1), (2, 1)}
     assert merkle.branches(edge.where("doc_id < 5")).where("level = 'paragraph'").count() == 6
+    assert merkle.branches(edge).columns[0] == "doc_id" and merkle.branches(edge).where("doc_id is null").count() > 0
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_ids_of_every_kind(spark, vocab, kind):
+    own = lambda k: None if k is None else str(k) if kind == "string" else k
+    docs = spark.createDataFrame([(own(k), f"text {k} of it") for k in (5, None, 12, 3)], f"doc_id {kind}, text string")
+    order = [None, own(3), own(5), own(12)] if kind != "string" else [None, "12", "3", "5"]
+    texts = {own(k): f"text {k} of it" for k in (5, None, 12, 3)}
+    got = {r.doc_id: r for r in merkle.compare_with_next(docs).collect()}
+    assert set(got) == set(order)
+    for i, k in enumerate(order):
+        assert got[k].edited_sha256 == hashlib.sha256(merkle.edited_text(texts[k], texts[order[(i + 1) % 4]]).encode()).hexdigest()
+    turns = docs.selectExpr("doc_id as conv_id", "1 as turn", "'user' as role", "text")
+    assert {r.conv_id: r.n_turns for r in chat.read_back(turns, vocab, public_tokenizers.PATTERN).collect()} == dict.fromkeys(order, 1)
+    assert {r.doc_id for r in linedup.remove_boilerplate(docs.withColumn("source", docs.text)).collect()} == set(order)
 
 
 # 4 and 8
@@ -182,6 +226,13 @@ def test_op4_and_op8(spark):
         assert np.mean(right) > 0.85
 
 
+def test_op4_catches_toxic_texts(spark):
+    large = "/root/testdata/sf0.1"
+    got = queries.op4_toxicity(spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    toxic, clean = [r.predicted for r in got if r.toxic], [r.predicted for r in got if not r.toxic]
+    assert sum(toxic) > 0.85 * len(toxic) and sum(clean) < 0.01 * len(clean)
+
+
 def test_models_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, text string")
     assert {r.score for r in gam.score(edge, gam.train(none, "quality")).collect()} == {0.5}
@@ -239,6 +290,34 @@ def test_secrets_added_and_edge_rows(spark, edge):
     assert set(secrets.train(edge.limit(0))) == {0.0}
 
 
+def test_random_spans_by_hand(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs += [(9000 + i, f"see {t} there") for i, t in enumerate(["Zx9Qk2Lw7Rt4Vb8Nm3Hc6Yd1", "4668350087416800", "plain-words-joined-by-marks", "q8Zt0vKx7LmW2pRb", "UPPER_CASE_CONSTANT_NAME"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    ratio = secrets.train(frame)
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(frame, ratio)).collect()}
+    for own, text in docs:
+        base = [tuple(map(int, x.split(":")[1:])) for x in spans_by_hand(text)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            score = sum(ratio[ord(a) * 128 + ord(b)] for a, b in zip(m[0], m[0][1:]))
+            if score >= max(secrets.RATIO, secrets.RATIO_PER_CHAR * len(m[0])) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append(f"random:{m.start()}:{m.end()}")
+        assert [x for x in got[own].split(",") if x.startswith("random")] == want
+    assert got[9000] == "random:4:28" and got[9003] == "random:4:20" and got[9001] == got[9002] == got[9004] == ""
+
+
+def test_names_that_clash(spark, edge):
+    docs = edge.selectExpr("*", "'a' as tokens", "'b' as base_spans", "'c' as row", "'d' as node", "1.5D as score", "'e' as band")
+    out = secrets.scan(docs, [0.0] * 16384)
+    assert out.columns == [*docs.columns, "base", "added"] and {(r.tokens, r.base_spans) for r in out.collect()} == {("a", "b")}
+    items = spark.createDataFrame([(1, "aword bword aword bword aword bword")], "item_id long, text string")
+    assert decontam.clean(docs, items).columns == docs.columns and {r["row"] for r in decontam.clean(docs, items).collect()} == {"c"}
+    assert sorted(r.doc_id or 0 for r in bagminhash.near_classes(docs).collect()) == sorted(r[0] or 0 for r in EDGE)
+    model = gam.train(spark.createDataFrame([], "doc_id long, quality int, text string"), "quality")
+    assert set(gam.score(docs, model).columns) == set(docs.columns) and {r.score for r in gam.score(docs, model).collect()} == {0.5}
+
+
 def test_secrets_sample_is_fixed_and_counts_documents(spark):
     # one id with many texts at the cut, and copies of whole rows: the order and number of rows do not change the sample
     data = [(7, f"token = {hashlib.sha256(str(i).encode()).hexdigest()}") for i in range(40)] + [(8, f"ordinary {w}_identifier") for w in ("first", "second", "third", "fourth", "fifth", "sixth")]
@@ -267,6 +346,19 @@ def test_line_dedup(spark, edge):
     assert linedup.remove_boilerplate(edge.limit(0)).count() == 0
 
 
+def test_line_dedup_of_blocks_beside_copies(spark):
+    # a footer of three lines on 40 pages of 40 sites, also on 300 copies of one page; clashing names; a null id
+    data = [(i, f"head {i}\nfirst\nmiddle\nlast\ntail {i}", f"s{i}") for i in range(1, 41)] + [(None, "head of none\nfirst\nmiddle\nlast", "s3")]
+    data += [(100 + i, "\n".join([f"copied {k}" for k in range(12)] + ["first", "middle", "last"]), f"s{i % 40}") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").selectExpr("*", "doc_id as row_key", "'x' as gone", "'y' as site", "'z' as h1")
+    out = linedup.remove_boilerplate(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[i].text == f"head {i}\ntail {i}" and got[i].n_removed == 3 and got[i].row_key == i for i in range(1, 41))
+    assert got[None].text == "head of none\nfirst\nmiddle\nlast"  # a null id is the least: the first occurrence
+    assert got[150].text == "\n".join(f"copied {k}" for k in range(12)) and got[150].gone == "x"
+
+
 # 10
 
 
@@ -293,5 +385,5 @@ def test_op10(spark, vocab):
     odd = spark.createDataFrame([(None, None, None, None), (7, 1, "assistant", None), (7, 1, "a\nb", LONG), (7, 0, "assistant", "<\\|")], "conv_id long, turn long, role string, text string")
     assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in chat.read_back(odd, vocab, public_tokenizers.PATTERN).collect()) == [(0, 1, 0), (7, 3, 3)]
     assert chat.read_back(odd.limit(0), vocab, public_tokenizers.PATTERN).count() == 0
-    masks = {(r.turn, r.role): (len(r.ids), sum(r["mask"])) for r in chat.format_turns(odd.where("conv_id = 7"), vocab, public_tokenizers.PATTERN).collect()}
+    masks = {(r.turn, r.role): (len(r.ids) // 4, sum(r["mask"])) for r in chat.format_turns(odd.where("conv_id = 7"), vocab, public_tokenizers.PATTERN).collect()}
     assert masks[0, "assistant"][1] > 0 == masks[1, "assistant"][1]
