@@ -51,24 +51,49 @@ def wide(long: DataFrame, config: FeatureConfig) -> DataFrame:
 
 
 def extract_features(voxels: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """One row per sample: vf, cld, sa, gt, pt, perc of each phase, tpb, atpb."""
+    """One row per sample: vf, cld, sa, gt, pt, perc of each phase, tpb, atpb; volumes must be dense (check_dense)."""
     return wide(long_features(voxels, config), config)
 
 
 def changed_static(voxels: DataFrame, phase: int) -> DataFrame:
-    """sample, changed: voxels in which a sample's mask of the phase differs from the first sample's, either way."""
+    """changed_from the first sample's mask."""
     first = voxels.agg(F.min("sample").alias("first"))
-    mask = voxels.where(F.col("phase") == phase).select("sample", *AXES)
-    reference = mask.join(F.broadcast(first), F.col("sample") == F.col("first")).select(*AXES, F.lit(1).alias("r"))
-    samples = voxels.select("sample").distinct()
-    expected = reference.groupBy().agg(F.count("*").alias("all"))
-    met = mask.join(reference, list(AXES), "left").groupBy("sample").agg(F.count("*").alias("own"), F.count("r").alias("same"))
-    rows = samples.join(met, "sample", "left").join(F.broadcast(expected))
+    mask = voxels.where(F.col("phase") == phase).join(F.broadcast(first), F.col("sample") == F.col("first"))
+    return changed_from(voxels, mask, phase)
+
+
+def static_cache(voxels: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """What later samples reuse of the first one's static phase, to be stored as a table: kind, feature, value, x, y, z.
+
+    Rows of kind ``feature`` are the phase's features, of kind ``mask`` its
+    voxels, and the one of kind ``size`` has the volume's size as x, y, z and
+    the sample's name as feature.
+    """
+    first = voxels.agg(F.min("sample")).first()[0]
+    own = voxels.where(F.col("sample") == first)
+    names = [f"{prefix}{config.static_phase}" for prefix in PREFIXES]
+    none = [F.lit(None).cast("int").alias(a) for a in AXES]
+    values = long_features(own, config, [config.static_phase]).where(F.col("feature").isin(names))
+    mask = own.where(F.col("phase") == config.static_phase)
+    size = dims(own).select(F.lit("size").alias("kind"), F.col("sample").alias("feature"), F.lit(None).cast("double").alias("value"), *(F.col(f"n{a}").alias(a) for a in AXES))
+    return union([
+        values.select(F.lit("feature").alias("kind"), "feature", "value", *none),
+        mask.select(F.lit("mask").alias("kind"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value"), *AXES),
+        size,
+    ])
+
+
+def changed_from(voxels: DataFrame, mask: DataFrame, phase: int) -> DataFrame:
+    """sample, changed: voxels in which a sample's mask of the phase differs from mask (x, y, z), either way."""
+    reference = mask.select(*AXES, F.lit(1).alias("r"))
+    own = voxels.where(F.col("phase") == phase).select("sample", *AXES)
+    met = own.join(reference, list(AXES), "left").groupBy("sample").agg(F.count("*").alias("own"), F.count("r").alias("same"))
+    rows = voxels.select("sample").distinct().join(met, "sample", "left").join(F.broadcast(reference.groupBy().agg(F.count("*").alias("all"))))
     return rows.select("sample", (F.coalesce("own", F.lit(0)) + F.col("all") - 2 * F.coalesce("same", F.lit(0))).alias("changed"))
 
 
-def extract_series(voxels: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """As extract_features, but the static phase of the first sample serves all when config says so.
+def extract_series(voxels: DataFrame, config: FeatureConfig = FeatureConfig(), cache: DataFrame | None = None) -> DataFrame:
+    """As extract_features, but the static phase of one sample serves all when config says so: that of cache, a table of ``static_cache``, or else the first sample's.
 
     Raises ValueError if volumes differ in size, or if a sample's static phase
     differs and config.verify_static is set.
@@ -76,16 +101,16 @@ def extract_series(voxels: DataFrame, config: FeatureConfig = FeatureConfig()) -
     check_dense(voxels)
     if config.recalculate_static:
         return extract_features(voxels, config)
-    if dims(voxels).select("nx", "ny", "nz").distinct().count() > 1:
+    if cache is None:
+        cache = stored(static_cache(voxels, config), "static")
+    size = cache.where("kind = 'size'").first()
+    if not dims(voxels).where(F.struct("nx", "ny", "nz") != F.struct(*(F.lit(size[a]).alias(f"n{a}") for a in AXES))).isEmpty():
         raise ValueError("the volumes of a series with a static phase must have one size")
-    first = voxels.agg(F.min("sample")).first()[0]
     if config.verify_static:
-        bad = changed_static(voxels, config.static_phase).where("changed > 0").orderBy("sample").first()
+        bad = changed_from(voxels, cache.where("kind = 'mask'"), config.static_phase).where("changed > 0").orderBy("sample").first()
         if bad is not None:
-            raise ValueError(f"phase {config.static_phase} of {bad['sample']} differs from that of {first} in {bad['changed']} voxels")
-    static = [f"{prefix}{config.static_phase}" for prefix in PREFIXES]
+            raise ValueError(f"phase {config.static_phase} of {bad['sample']} differs from that of {size['feature']} in {bad['changed']} voxels")
     others = [p for p in config.phases if p != config.static_phase]
-    reference = long_features(voxels.where(F.col("sample") == first), config).where(F.col("feature").isin(static)).select("feature", "value")
-    samples = voxels.select("sample").distinct()
-    copied = samples.join(F.broadcast(reference)).select("sample", "feature", "value")  # six rows
+    reference = cache.where("kind = 'feature'").select("feature", "value")
+    copied = voxels.select("sample").distinct().join(F.broadcast(reference)).select("sample", "feature", "value")  # six rows
     return wide(long_features(voxels, config, others).unionByName(copied), config)

@@ -5,7 +5,7 @@ mask plus the boundary factor for each transport face that it lies on; inlet
 voxels also have the factor on the right side.  Its rows are windows over the
 dense grid; one application is a join with the neighbours.  The solve itself,
 thousands of steps each of which needs all of the last, is a kernel a mask:
-conjugate gradients with a Jacobi preconditioner on shifted arrays.
+conjugate gradients with a Jacobi preconditioner over lists of neighbour pairs.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.config import FeatureConfig
-from voxtide.functions.columns import AXES, mean_of_finite
+from voxtide.functions.columns import AXES, CELL, linear_index, mean_of_finite
 from voxtide.functions.tables import stored
 from voxtide.jobs import features
 from voxtide.operators import chords, connectivity, counts, diffusion, surface
@@ -155,6 +155,38 @@ def operator_apply(spark, sf_dir):
     return _rounded(diffusion.apply_operator(rows, through, "x0").select("sample", "phase", "dir", *AXES, "applied"))
 
 
+def cell_numbers(spark, sf_dir):
+    vox = _vox(spark, sf_dir)
+    return vox.join(_sizes(vox), "sample").select(*CELL, linear_index(F.col("nx"), F.col("ny")).cast("long").alias("number"))
+
+
+def percolation_mean(spark, sf_dir):
+    """Plain mean over the directions, zeros included."""
+    vox = _vox(spark, sf_dir)
+    each = connectivity.percolating_fraction(counts.phase_counts(vox, PHASES), _through(vox), DIRECTIONS)
+    return _rounded(each.groupBy("sample", "phase").agg(F.avg("value").alias("value")))
+
+
+def atpb_mean(spark, sf_dir):
+    vox = _vox(spark, sf_dir)
+    return _rounded(counts.active_tpb_density(vox, _through(vox), DIRECTIONS, SIZE).groupBy("sample").agg(F.avg("value").alias("value")))
+
+
+def initial_residual(spark, sf_dir):
+    """Squared norms of the right side and of the residual at the start, and the start's outlet sum, of every system."""
+    vox = _vox(spark, sf_dir)
+    through = _through(vox)
+    rows = diffusion.apply_operator(diffusion.system(through, _sizes(vox), FACTOR), through, "x0")
+    r = F.col("rhs") - F.col("applied")
+    return _rounded(rows.groupBy("sample", "phase", "dir").agg(F.sum(F.col("rhs") * F.col("rhs")).alias("bb"), F.sum(r * r).alias("rr"), F.coalesce(F.sum(F.when(F.col("outlet"), F.col("x0"))), F.lit(0.0)).alias("outlet")))
+
+
+def feature_columns(spark, sf_dir):
+    """The feature row without the columns that need random rays or an iterative solve."""
+    kept = [c for c in features.columns(CONFIG) if not c.startswith(("cld", "pt"))]
+    return _rounded(features.extract_features(_vox(spark, sf_dir), CONFIG).select("sample", *kept))
+
+
 def physical_tortuosity(spark, sf_dir):
     vox = _vox(spark, sf_dir)
     tau = diffusion.physical_tortuosity(counts.phase_counts(vox, PHASES), _through(vox), _sizes(vox), DIRECTIONS, FACTOR, 1e-12)
@@ -177,7 +209,7 @@ def static_phase_reuse(spark, sf_dir):
 ALL = (
     vox_scan, vox_dims, positive_phases, phase_mask_counts, volume_fraction, gaussian_smooth, gradient_magnitude, surface_area, tpb_edges_by_axis,
     tpb_density, boundary_reachable, percolation_mask, percolation_fraction, atpb_density, geodesic_distance, geometric_tortuosity,
-    tortuosity_mean_skip_inf, ray_segments, chord_runs, mean_chord_length, diffusion_system, operator_apply, physical_tortuosity,
+    tortuosity_mean_skip_inf, ray_segments, chord_runs, mean_chord_length, diffusion_system, operator_apply, physical_tortuosity, cell_numbers, percolation_mean, atpb_mean, initial_residual, feature_columns,
     static_phase_verify, feature_row, static_phase_reuse,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
@@ -290,4 +322,53 @@ ORACLES: dict[str, str] = {
     "diffusion_system": _sql(f"select sample, phase, dir, x, y, z, {_R('diagonal')}, {_R('rhs')}, {_R('x0')}, outlet from sys", _SYSTEM),
     "operator_apply": _sql(f"select s.sample, s.phase, s.dir, s.x, s.y, s.z, {_R('diagonal * x0 - coalesce((select sum(o.x0) from sys o, moves m where o.sample = s.sample and o.phase = s.phase and o.dir = s.dir and o.x = s.x + m.mx and o.y = s.y + m.my and o.z = s.z + m.mz), 0)', 'applied')} from sys s", _SYSTEM),
     "static_phase_verify": _sql("select s.sample, cast((select count(*) from vox a join vox b using (x, y, z) where a.sample = s.sample and b.sample = (select min(sample) from vox) and (a.phase = 2) <> (b.phase = 2)) as bigint) as changed from samples s"),
+    "cell_numbers": _sql(f"select sample, x, y, z, cast(row_number() over (partition by sample order by z, y, x) as bigint) as number from vox"),
+}
+_PERC = """coalesce((select count(*) from through t where t.sample = s.sample and t.phase = p.phase and t.dir = r.dir)
+  / nullif((select count(*) from vox v where v.sample = s.sample and v.phase = p.phase), 0), 0)"""
+_BLOCKED = f"""{_THROUGH}, blocked as (
+  select v.sample, r.dir, v.x, v.y, v.z, case when v.phase in (1, 2) and t.x is null then 0 else v.phase end as phase
+  from vox v cross join dirs r
+  left join through t on t.sample = v.sample and t.phase = v.phase and t.dir = r.dir and t.x = v.x and t.y = v.y and t.z = v.z)"""
+_APPLIED = f"""{_SYSTEM}, applied as (
+  select s.*, diagonal * x0 - coalesce((
+    select sum(o.x0) from sys o, moves m
+    where o.sample = s.sample and o.phase = s.phase and o.dir = s.dir and o.x = s.x + m.mx and o.y = s.y + m.my and o.z = s.z + m.mz), 0) as ax
+  from sys s)"""
+_FEATURES = f"""{_GT}, {_GRADIENT}, {_BLOCKED.split(", blocked as (", 1)[1].join([", blocked as (", ""])[2:]},
+long as (
+  select s.sample, 'vf' || p.phase as feature, avg(cast(s.phase = p.phase as double)) as value from vox s, phases p group by s.sample, p.phase
+  union all select sample, 'sa' || phase, avg(g) from grad group by sample, phase
+  union all select sample, 'gt' || phase, coalesce(avg(value) filter (isfinite(value)), 'inf'::double) from gt group by sample, phase
+  union all select sample, 'perc' || phase, avg(value) from (select s.sample, p.phase, {_PERC} as value from samples s, phases p, dirs r) group by sample, phase
+  union all select sample, 'tpb', count(*) filter (hit) / ({N**3} * {SIZE**2}) from ({_edges("vox", "sample")}) group by sample
+  union all select sample, 'atpb', count(*) filter (hit) / ({N**3} * {SIZE**2} * 3) from ({_edges("blocked", "sample, dir")}) group by sample)"""
+_KEPT = [c for c in features.columns(CONFIG) if not c.startswith(("cld", "pt"))]
+#: Steps of plain relaxation that bring the slowest of these systems to ten digits.
+_STEPS = 20_000
+_TAU = f"""{_SYSTEM}, numbered as materialized (
+  select *, row_number() over (order by sample, phase, dir, z, y, x) as id from sys),
+links as materialized (
+  select a.id as i, b.id as j, a.rhs, a.diagonal from numbered a, moves m, numbered b
+  where b.sample = a.sample and b.phase = a.phase and b.dir = a.dir and b.x = a.x + m.mx and b.y = a.y + m.my and b.z = a.z + m.mz),
+relax as (
+  select 0 as step, id, cast(x0 as double) as c from numbered
+  union all
+  select max(r.step) + 1, l.i, (max(l.rhs) + sum(r.c)) / max(l.diagonal) from relax r join links l on l.j = r.id group by l.i having max(r.step) < {_STEPS}),
+flux as (
+  select n.sample, n.phase, n.dir, {FACTOR} * sum(c) * {N} / {N * N} as deff
+  from relax r join numbered n using (id) where r.step = {_STEPS} and n.outlet group by n.sample, n.phase, n.dir),
+shares as (select s.sample, p.phase, avg(cast(s.phase = p.phase as double)) as share from vox s, phases p group by s.sample, p.phase)"""
+ORACLES |= {
+    "physical_tortuosity": _sql(
+        f"select s.sample, s.phase, d.dir, round(case when deff > 0 then share / deff else 'inf'::double end, {DIGITS}) as value from shares s cross join dirs d left join flux f on f.sample = s.sample and f.phase = s.phase and f.dir = d.dir",
+        _TAU,
+    ),
+    "percolation_mean": _sql(f"select sample, phase, round(avg(value), {DIGITS}) as value from (select s.sample, p.phase, {_PERC} as value from samples s, phases p, dirs r) group by sample, phase", _THROUGH),
+    "atpb_mean": _sql(f"select sample, round(count(*) filter (hit) / ({N**3} * {SIZE**2} * 3), {DIGITS}) as value from ({_edges('blocked', 'sample, dir')}) group by sample", _BLOCKED),
+    "initial_residual": _sql(
+        f"select sample, phase, dir, round(sum(cast(rhs * rhs as double)), {DIGITS}) as bb, round(sum((rhs - ax) * (rhs - ax)), {DIGITS}) as rr, round(cast(coalesce(sum(x0) filter (outlet), 0) as double), {DIGITS}) as outlet from applied group by sample, phase, dir",
+        _APPLIED,
+    ),
+    "feature_columns": _sql("select sample, " + ", ".join(f"round(max(value) filter (feature = '{c}'), {DIGITS}) as {c}" for c in _KEPT) + " from long group by sample", _FEATURES),
 }

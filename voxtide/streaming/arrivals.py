@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxtide.config import FeatureConfig
-from voxtide.jobs.features import extract_features
+from voxtide.functions.tables import stored
+from voxtide.jobs.features import extract_series
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: FeatureConfig = FeatureConfig(), schema: str = "sample string, x int, y int, z int, phase int"):
-    """A query from Parquet voxel files in folder (a file holds whole volumes) to feature rows in out, one subfolder a batch, so that a batch done twice is written once."""
+def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, config: FeatureConfig = FeatureConfig(), cache: DataFrame | None = None, schema: str = "sample string, x int, y int, z int, phase int"):
+    """A query from Parquet voxel files in folder (a file holds whole volumes) to feature rows in out, one subfolder a batch, so that a batch done twice is written once; cache is a stored table of ``static_cache`` for series with a static phase."""
     arriving = spark.readStream.schema(schema).parquet(folder)
 
     def each(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            extract_features(batch, config).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            extract_series(stored(batch, "arrived"), config, cache).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
