@@ -232,6 +232,33 @@ def test_mean_of_finite(spark):
     assert {r.k: r.m for r in df.groupBy("k").agg(mean_of_finite(F.col("v")).alias("m")).collect()} == {"a": 1.0, "b": math.inf}
 
 
+def test_static_cache_serves_later_samples(spark):
+    first = np.ones((6, 4, 4), np.int8)
+    first[2:4], first[4:] = 2, 3
+    later = first.copy()
+    later[0, 0, 0] = 3
+    static = FeatureConfig(**{**CONFIG.__dict__, "recalculate_static": False})
+    cache = features.stored(features.static_cache(frames(spark, a=first), static), "cache")
+    alone = features.extract_series(frames(spark, b=later), static, cache).collect()
+    together = [r for r in features.extract_series(frames(spark, a=first, b=later), static).collect() if r["sample"] == "b"]
+    assert len(alone) == 1 and repr(alone) == repr(together)
+    changed = later.copy()
+    changed[1, 1, 1] = 2
+    with pytest.raises(ValueError, match="phase 2 of c differs from that of a in 1 voxels"):
+        features.extract_series(frames(spark, c=changed), static, cache)
+    with pytest.raises(ValueError, match="one size"):
+        features.extract_series(frames(spark, c=later[:5]), static, cache)
+
+
+def test_dense_check_sees_every_fault(spark):
+    good = frames(spark, a=np.ones((2, 2, 2), np.int8))
+    source.check_dense(good)
+    swapped = good.where("not (x = 1 and y = 1 and z = 1)").unionAll(good.where("x = 2 and y = 2 and z = 2"))
+    for bad in (swapped, good.withColumn("x", F.col("x") - 1), good.where("x = 1"), good.unionAll(good)):
+        with pytest.raises(ValueError, match="not dense"):
+            source.check_dense(bad)
+
+
 @pytest.mark.parametrize("bad", [{"voxel_size": 0}, {"rays": 0}, {"min_chord": -1}, {"phases": ()}, {"phases": (1, 1)}, {"phases": (0,)}, {"direction": 4}, {"boundary_factor": 0}, {"rtol": 0}, {"max_iterations": 0}, {"recalculate_static": False, "static_phase": 9}])
 def test_config(bad):
     with pytest.raises(ValueError):
