@@ -130,25 +130,40 @@ def percolating_fraction(counts: DataFrame, through: DataFrame, directions) -> D
     return rows.select(*KEY, "dir", F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.col("voxels").cast("double")), F.lit(0.0)).alias("value"))
 
 
+def by_planes(through: DataFrame, sizes: DataFrame) -> DataFrame:
+    """through (sample, phase, dir, x, y, z) as one row a plane across x: its cells' numbers (y - 1) * nz + z - 1, and the volume's nx, ny, nz."""
+    number = ((F.col("y") - 1) * F.col("nz") + F.col("z") - 1).cast("int")
+    return through.join(sizes, "sample").groupBy(*KEY, "dir", "x", "nx", "ny", "nz").agg(F.collect_list(number).alias("cells"))
+
+
+def mask_of(planes: pd.DataFrame) -> np.ndarray:
+    """The mask whose planes these are."""
+    nx, ny, nz = (int(v) for v in planes[["nx", "ny", "nz"]].iloc[0])
+    mask = np.zeros((nx, ny * nz), bool)
+    for x, cells in zip(planes["x"], planes["cells"], strict=True):
+        mask[x - 1, cells] = True
+    return mask.reshape(nx, ny, nz)
+
+
 def distances(mask: np.ndarray, axis: int) -> np.ndarray:
     """Steps from the last face across axis through face neighbours, -1 where it cannot be reached."""
-    dist = np.full(mask.shape, -1, np.int32)
-    seed = [slice(None)] * 3
-    seed[axis] = slice(-1, None)
-    front = np.zeros_like(mask)
-    front[tuple(seed)] = mask[tuple(seed)]
-    step = 0
-    while front.any():
-        dist[front] = step
+    free = np.pad(mask, 1)  # an empty border: a neighbour is a fixed number of cells away
+    dist = np.full(free.shape, -1, np.int32)
+    outlet = np.zeros_like(free)
+    outlet.swapaxes(0, axis)[-2] = True
+    front = np.flatnonzero(free & outlet)
+    moves = np.array([s * m for m in (1, free.shape[2], free.shape[1] * free.shape[2]) for s in (-1, 1)])
+    free, flat, step = free.ravel(), dist.ravel(), 0
+    while len(front):
+        flat[front] = step
+        free[front] = False
+        near = (front[:, None] + moves).ravel()
+        near = near[free[near]]
+        turn = np.arange(len(near), dtype=np.int32)
+        flat[near] = turn  # of a cell's several ways here the last one stays
+        front = near[flat[near] == turn]
         step += 1
-        grown = np.zeros_like(mask)
-        for a in range(3):
-            low, high = [slice(None)] * 3, [slice(None)] * 3
-            low[a], high[a] = slice(None, -1), slice(1, None)
-            grown[tuple(low)] |= front[tuple(high)]
-            grown[tuple(high)] |= front[tuple(low)]
-        front = grown & mask & (dist < 0)
-    return dist
+    return dist[1:-1, 1:-1, 1:-1]
 
 
 def geodesic_distance(through: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -156,15 +171,19 @@ def geodesic_distance(through: DataFrame, sizes: DataFrame) -> DataFrame:
 
     Every way from inlet to outlet lies in the percolating voxels, so they are enough for tortuosity.
     """
-    rows = through.join(sizes, "sample").withColumn("d", F.lit(0)).select(*KEY, "dir", *AXES, "nx", "ny", "nz", "d")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros(pdf[["nx", "ny", "nz"]].iloc[0].tolist(), bool)
-        at = tuple(pdf[a].to_numpy() - 1 for a in AXES)
-        mask[at] = True
-        return pdf.assign(d=distances(mask, int(pdf["dir"].iloc[0]) - 1)[at])
+        mask = mask_of(pdf)
+        far = distances(mask, int(pdf["dir"].iloc[0]) - 1).reshape(len(mask), -1)
+        return pdf.assign(d=[far[x - 1, cells] for x, cells in zip(pdf["x"], pdf["cells"], strict=True)])[kept]
 
-    return rows.groupBy(*KEY, "dir").applyInPandas(run, rows.schema).drop("nx", "ny", "nz")
+    kind = {f.name: f.dataType.simpleString() for f in through.schema}
+    kept = [*KEY, "dir", "x", "nz", "cells", "d"]
+    schema = ", ".join(f"{c} {kind[c]}" for c in (*KEY, "dir", "x")) + ", nz int, cells array<int>, d array<int>"
+    solved = by_planes(through, sizes).groupBy(*KEY, "dir").applyInPandas(run, schema)
+    each = solved.select(*KEY, "dir", "x", "nz", F.inline(F.arrays_zip("cells", "d")))
+    y, z = F.expr("cells div nz + 1"), F.col("cells") % F.col("nz") + 1
+    return each.select(*KEY, "dir", "x", y.cast(kind["y"]).alias("y"), z.cast(kind["z"]).alias("z"), "d")
 
 
 def geodesic_distance_by_joins(through: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -190,4 +209,4 @@ def geometric_tortuosity(counts: DataFrame, distance: DataFrame, sizes: DataFram
     return per_direction(counts, directions).join(mean, [*KEY, "dir"], "left").select(*KEY, "dir", F.coalesce("mean", F.lit(float("inf"))).alias("value"))
 
 
-__all__ = ["components", "dims", "distances", "geodesic_distance", "geodesic_distance_by_joins", "geometric_tortuosity", "label", "percolating", "percolating_fraction", "per_direction", "reachable"]
+__all__ = ["by_planes", "components", "dims", "distances", "geodesic_distance", "geodesic_distance_by_joins", "geometric_tortuosity", "label", "mask_of", "percolating", "percolating_fraction", "per_direction", "reachable"]

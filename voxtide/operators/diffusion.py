@@ -5,20 +5,25 @@ mask plus the boundary factor for each transport face that it lies on; inlet
 voxels also have the factor on the right side.  Its rows are windows over the
 dense grid; one application is a join with the neighbours.  The solve itself,
 thousands of steps each of which needs all of the last, is a kernel a mask:
-conjugate gradients with a Jacobi preconditioner over lists of neighbour pairs.
+conjugate gradients with a Jacobi preconditioner on shifted arrays.  A mask
+reaches its task as one row a plane with the numbers of its cells.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.columns import AXES, axis_value, size_along
-from voxtide.operators.connectivity import KEY, per_direction
+from voxtide.operators.connectivity import KEY, by_planes, mask_of, per_direction
 
 MASK = [*KEY, "dir"]
+#: Cells of a piece that the solver sweeps at once; a plane at least.
+PIECE = 32_768
 
 
 class NotConverged(RuntimeError):
@@ -58,53 +63,76 @@ def apply_operator(rows: DataFrame, through: DataFrame, column: str) -> DataFram
 
 
 def solve(mask: np.ndarray, axis: int, boundary_factor: float, rtol: float, max_iterations: int, atol: float = 0.0) -> tuple[np.ndarray, int, float]:
-    """(concentration on the mask's cells, iterations, relative residual) by Jacobi-preconditioned conjugate gradients."""
-    cells = np.flatnonzero(mask)
-    number = np.full(mask.size, -1, np.int64)
-    number[cells] = np.arange(len(cells))
-    grid = number.reshape(mask.shape)
-    one, other = [], []
-    for a in range(3):
-        low, high = [slice(None)] * 3, [slice(None)] * 3
-        low[a], high[a] = slice(None, -1), slice(1, None)
-        left, right = grid[tuple(low)].ravel(), grid[tuple(high)].ravel()
-        both = (left >= 0) & (right >= 0)
-        one.append(left[both])
-        other.append(right[both])
-    pairs = [(np.concatenate(one), np.concatenate(other))]
-    n = len(cells)
-    at = np.unravel_index(cells, mask.shape)[axis]
-    length = mask.shape[axis]
-    diagonal = np.bincount(pairs[0][0], minlength=n) + np.bincount(pairs[0][1], minlength=n) + boundary_factor * ((at == 0).astype(float) + (at == length - 1))
-    b = boundary_factor * (at == 0)
-    x = 1 - (at + 0.5) / length
-    (i, j), = pairs
-
-    def times(v: np.ndarray) -> np.ndarray:
-        return diagonal * v - np.bincount(i, v[j], n) - np.bincount(j, v[i], n)
-
-    r = b - times(x)
-    scale = float(np.linalg.norm(b))
+    """(concentration on the mask's cells, iterations, relative residual) by Jacobi-preconditioned conjugate gradients.
+
+    The grid has a border of empty cells, so a neighbour is a fixed number of cells away; vectors are swept in pieces that stay in a core's cache.
+    """
+    cells = np.pad(mask, 1)
+    grid, flat, size = cells.shape, cells.ravel(), cells.size
+    moves = (1, grid[2], grid[1] * grid[2])
+    inlet, outlet = ([slice(None)] * 3 for _ in range(2))
+    inlet[axis], outlet[axis] = slice(1, 2), slice(-2, -1)
+    near = np.zeros(size, np.int8)
+    for m in moves:
+        near[m:] += flat[:-m]
+        near[:-m] += flat[m:]
+    diagonal = near.astype(float)
+    for face in (inlet, outlet):
+        diagonal.reshape(grid)[tuple(face)] += boundary_factor
+    inverse = np.divide(1.0, diagonal, out=np.zeros(size), where=flat & (diagonal > 0))
+    r = np.zeros(size)
+    r.reshape(grid)[tuple(inlet)] = boundary_factor * cells[tuple(inlet)]
+    along = [1, 1, 1]
+    along[axis] = -1
+    x = (cells * (1 - (np.arange(grid[axis]) - 0.5) / mask.shape[axis]).reshape(along)).ravel()
+    p, q, spare = x.copy(), np.zeros(size), np.empty(size if size < PIECE else max(PIECE, moves[2]))
+    ends = [*range(moves[2], size - moves[2], len(spare)), size - moves[2]]
+    pieces = [slice(i, j) for i, j in zip(ends, ends[1:], strict=False)]
+
+    def apply(s: slice) -> float:
+        """q = A p on a piece; p q."""
+        np.multiply(diagonal[s], p[s], out=q[s])
+        for m in moves:
+            q[s] -= p[s.start - m : s.stop - m]
+            q[s] -= p[s.start + m : s.stop + m]
+        return float(p[s] @ q[s])
+
+    def residual(s: slice, step: float) -> tuple[float, float]:
+        """r less step times q on a piece; its products with its scaled self and with itself, over the mask's cells."""
+        t = spare[: s.stop - s.start]
+        r[s] -= np.multiply(q[s], step, out=t)
+        np.multiply(inverse[s], r[s], out=t)
+        scaled = float(t @ r[s])
+        t *= diagonal[s]
+        return scaled, float(t @ t)
+
+    scale = float(np.linalg.norm(r))
     enough = max(atol, rtol * scale)
-    size = float(np.linalg.norm(r))
-    z = r / diagonal
-    p, rz, steps = z.copy(), float(r @ z), 0
-    while size > enough:
+    for s in pieces:
+        apply(s)
+    rz, square = map(sum, zip(*(residual(s, 1.0) for s in pieces), strict=True))
+    steps, turn = 0, 0.0
+    while math.sqrt(square) > enough:
         if steps >= max_iterations:
-            raise NotConverged(f"no convergence in {max_iterations} iterations: relative residual {size / scale:g}")
-        q = times(p)
-        curve = float(p @ q)
+            raise NotConverged(f"no convergence in {max_iterations} iterations: relative residual {math.sqrt(square) / scale:g}")
+        curve = 0.0
+        for before, s in zip([None, *pieces], [*pieces, None], strict=True):  # a piece's product needs the next piece's direction
+            if s is not None:
+                p[s] *= turn
+                p[s] += np.multiply(inverse[s], r[s], out=spare[: s.stop - s.start])
+            if before is not None:
+                curve += apply(before)
         if not np.isfinite(curve) or curve <= 0:
             raise NotConverged("the operator is not positive definite")
-        step = rz / curve
-        x += step * p
-        r -= step * q
-        size = float(np.linalg.norm(r))
-        z = r / diagonal
-        rz, old = float(r @ z), rz
-        p = z + (rz / old) * p
+        step, old, rz, square = rz / curve, rz, 0.0, 0.0
+        for s in pieces:
+            x[s] += np.multiply(p[s], step, out=spare[: s.stop - s.start])
+            scaled, own = residual(s, step)
+            rz, square = rz + scaled, square + own
+        turn = rz / old
         steps += 1
-    return x, steps, size / scale if scale else 0.0
+    inside = x.reshape(grid)[1:-1, 1:-1, 1:-1]
+    return inside[mask], steps, math.sqrt(square) / scale if scale else 0.0
 
 
 def physical_tortuosity(counts: DataFrame, through: DataFrame, sizes: DataFrame, directions, boundary_factor: float = 2.0, rtol: float = 1e-8, max_iterations: int = 10_000, diffusivity: float = 1.0, voxel_size: float = 0.1) -> DataFrame:
@@ -115,12 +143,10 @@ def physical_tortuosity(counts: DataFrame, through: DataFrame, sizes: DataFrame,
     for name, value in (("boundary_factor", boundary_factor), ("rtol", rtol), ("max_iterations", max_iterations), ("diffusivity", diffusivity), ("voxel_size", voxel_size)):
         if value <= 0:
             raise ValueError(f"{name} must be positive")
-    rows = through.join(sizes, "sample").select(*MASK, *AXES, "nx", "ny", "nz")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = [int(v) for v in pdf[["nx", "ny", "nz"]].iloc[0]]
-        mask = np.zeros(shape, bool)
-        mask[tuple(pdf[a].to_numpy() - 1 for a in AXES)] = True
+        mask = mask_of(pdf)
+        shape = mask.shape
         axis = int(pdf["dir"].iloc[0]) - 1
         c, steps, residual = solve(mask, axis, boundary_factor, rtol, max_iterations)
         at = np.unravel_index(np.flatnonzero(mask), shape)[axis]
@@ -129,7 +155,7 @@ def physical_tortuosity(counts: DataFrame, through: DataFrame, sizes: DataFrame,
         head = {k: pdf[k].iloc[0] for k in MASK}
         return pd.DataFrame([head | {"deff": flux * shape[axis] * voxel_size / area, "iterations": steps, "residual": residual}])
 
-    solved = rows.groupBy(*MASK).applyInPandas(run, "sample string, phase int, dir int, deff double, iterations long, residual double")
+    solved = by_planes(through, sizes).groupBy(*MASK).applyInPandas(run, "sample string, phase int, dir int, deff double, iterations long, residual double")
     all_rows = per_direction(counts, directions).join(solved, MASK, "left")
     share = F.col("voxels") / F.col("total")
     value = F.when((F.col("voxels") > 0) & (F.col("deff") > 0), share * diffusivity / F.col("deff")).otherwise(F.lit(float("inf")))
