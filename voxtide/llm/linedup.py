@@ -48,8 +48,9 @@ def _row_key(text_col: str) -> Column:
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Every line that is not blank: id, row_key, site, lines of its document, place, line hashes h1 and h2."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _row_key(text_col).alias("row_key"), F.col(site_col).alias("site"), F.split(text_col, "\n", -1).alias("split"))
-    filled = F.size(F.filter("split", lambda x: F.trim(x) != ""))
-    each = texts.select("id", "row_key", "site", filled.alias("lines"), F.posexplode("split").alias("place", "line")).where(F.trim("line") != "")
+    # counted before the lines are set apart, or each line would carry its whole text to be counted again
+    counted = texts.withColumn("lines", F.size(F.filter("split", lambda x: F.trim(x) != "")))
+    each = counted.select("id", "row_key", "site", "lines", F.posexplode("split").alias("place", "line")).where(F.trim("line") != "")
     return each.select("id", "row_key", "site", "lines", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
