@@ -13,7 +13,7 @@ from voxtide.config import FeatureConfig
 from voxtide.functions.columns import along, mean_of_finite
 from voxtide.jobs import batch, features
 from voxtide.operators import chords, connectivity, counts, diffusion, surface
-from voxtide.sources import csv_sink, mat
+from voxtide.sources import csv_sink, mat, planes
 from voxtide.sources import voxels as source
 from voxtide.streaming import arrivals
 
@@ -61,10 +61,8 @@ def frames(spark, **volumes):
 @pytest.fixture(scope="module")
 def shapes(spark):
     vox = frames(spark, channel=channel(), island=island(), blocked=blocked(), diagonal=DIAGONAL, detour=DETOUR, two=TWO_WAYS, empty=volume((7, 5, 5))).cache()
-    sizes = source.dims(vox).drop("n").cache()
-    by_phase = counts.phase_counts(vox, [1])
-    through = connectivity.percolating(counts.phase_masks(vox, [1]), sizes, [1, 2]).cache()
-    return vox, sizes, by_phase, through
+    of_planes = planes.pack(vox)
+    return vox, of_planes, counts.phase_counts(vox, [1]), connectivity.percolating(of_planes, [1], [1, 2])
 
 
 def values(df, *keys):
@@ -72,33 +70,71 @@ def values(df, *keys):
 
 
 def test_percolation(shapes):
-    vox, sizes, by_phase, through = shapes
+    vox, _, by_phase, through = shapes
     got = values(connectivity.percolating_fraction(by_phase, through, [1, 2]), "sample", "dir")
     assert got["channel", 1] == 1.0 and got["channel", 2] == 0.0 and got["island", 1] == pytest.approx(7 / 9)
     assert got["diagonal", 1] == got["blocked", 1] == got["empty", 1] == 0.0
-    assert through.where("sample = 'island' and dir = 1").count() == 7
+    assert connectivity.mask_voxels(through).where("sample = 'island' and dir = 1").count() == 7
     with pytest.raises(ValueError):
         along(4)
 
 
+def rows_of(df):
+    rounded = [F.round(c, 10).alias(c) if kind == "double" else F.col(c) for c, kind in sorted(df.dtypes)]
+    return sorted(map(tuple, df.select(*rounded).collect()), key=str)
+
+
 def test_slabs_agree_with_one_piece(spark):
-    labels = (np.random.default_rng(1).random((9, 8, 12)) < 0.4).astype(np.int8)
-    vox = frames(spark, a=labels, b=1 - labels)
-    sizes, masks = source.dims(vox).drop("n"), counts.phase_masks(vox, [1])
-    one = connectivity.components(masks, sizes)
-    many = connectivity.components(masks, sizes, slab_voxels=9 * 8 * 2)
-    assert sorted(map(tuple, one.select(*many.columns).collect())) == sorted(map(tuple, many.collect()))
-    through = connectivity.percolating(masks, sizes, [1, 2, 3])
-    distance = connectivity.geodesic_distance(through, sizes)
-    by_joins = connectivity.geodesic_distance_by_joins(through, sizes)
-    assert sorted(map(tuple, distance.select(*by_joins.columns).collect())) == sorted(map(tuple, by_joins.collect()))
+    """Labels, distances, surfaces and boundary edges are the same for any number of slabs, in tasks of their own or along lines."""
+    labels = np.random.default_rng(1).choice([1, 2, 3], (9, 8, 12), p=[0.5, 0.3, 0.2]).astype(np.int8)
+    vox = planes.pack(frames(spark, a=labels, b=labels[::-1, :, ::-1]))
+    one = connectivity.stored(connectivity.connected(vox, [1, 2, 3]), "one")
+    for of in (
+        lambda **k: connectivity.connected(vox, [1, 2, 3], **k), lambda **k: connectivity.reachable(vox, [1, 2], 3, True, **k), lambda **k: surface.surface_area(vox, [1, 2], 0.5, **k),
+        lambda **k: surface.gradient(vox, [1], 0.5, **k), lambda **k: counts.tpb_edges(vox, **k), lambda **k: counts.active_tpb_density(one, [1, 3], **k),
+    ):
+        assert rows_of(of(slab_voxels=200)) == rows_of(of())
+    masks = connectivity.percolating(vox, [1, 2], [1, 2, 3])
+    alone = rows_of(connectivity.mask_voxels(connectivity.geodesic_distance(masks), "steps"))
+    for slabs in (2, 20):
+        assert rows_of(connectivity.mask_voxels(connectivity.geodesic_distance(masks, 0, slabs), "steps")) == alone
+
+
+def serpentine(n):
+    """A channel that goes back and forth across x between walls, so the way crosses every slab many times."""
+    labels = np.ones((n, n, 2), np.int8)
+    for k, y in enumerate(range(1, n, 2)):
+        labels[slice(None, -1) if k % 2 == 0 else slice(1, None), y] = 0
+    return labels
 
 
-def test_geometric_tortuosity(shapes):
-    vox, sizes, by_phase, through = shapes
-    got = values(connectivity.geometric_tortuosity(by_phase, connectivity.geodesic_distance(through, sizes), sizes, [1]), "sample")
-    expected = {"channel": 1.0, "island": 1.0, "diagonal": math.inf, "blocked": math.inf, "empty": math.inf, "detour": 6 / 4, "two": 7 / 6}
-    assert got == pytest.approx(expected, abs=1e-12)
+def test_lines_of_tasks_follow_long_ways(spark):
+    n = 13
+    vox = planes.pack(frames(spark, s=serpentine(n)))
+    masks = connectivity.percolating(vox, [1], [2])
+    alone = rows_of(connectivity.mask_voxels(connectivity.geodesic_distance(masks), "steps"))
+    assert max(r[0] for r in alone) > 80
+    for slabs in (1, 7):
+        assert rows_of(connectivity.mask_voxels(connectivity.geodesic_distance(masks, 0, slabs), "steps")) == alone
+
+
+@pytest.mark.parametrize("slabs", [1, 2, 4])
+def test_solves_in_lines(spark, slabs):
+    """Equal tortuosity for any number of slabs, along each axis, also where a job ends and the next goes on from stored iterates; empty slabs."""
+    walls = staggered(12)
+    thin = volume((12, 4, 4))
+    thin[3:6, 1:3] = 1
+    thin[:, 2, 1] = 1
+    vox = planes.pack(frames(spark, walls=walls, thin=thin, cross=thin.transpose(1, 0, 2)))
+    by_phase = counts.plane_counts(vox, [1])
+    masks = connectivity.percolating(vox, [1], [1, 2, 3])
+    alone = {(r["sample"], r["dir"]): r for r in diffusion.physical_tortuosity(by_phase, masks, [1, 2, 3], rtol=1e-12).collect()}
+    for steps in (25, 2000):
+        got = diffusion.physical_tortuosity(by_phase, masks, [1, 2, 3], rtol=1e-12, task_cells=0, slabs=slabs, steps=steps).collect()
+        for r in got:
+            assert r.value == pytest.approx(alone[r["sample"], r["dir"]].value, rel=1e-10)
+            assert abs(r.iterations - alone[r["sample"], r["dir"]].iterations) <= 1
+    assert sum(math.isfinite(r.value) for r in got) == 7  # walls along all three, thin and cross along two each
 
 
 def staggered(n):
@@ -110,21 +146,20 @@ def staggered(n):
 
 
 def test_physical_tortuosity(spark, shapes):
-    vox, sizes, by_phase, through = shapes
-    got = values(diffusion.physical_tortuosity(by_phase, through, sizes, [1], rtol=1e-12), "sample")
+    _, _, by_phase, through = shapes
+    got = values(diffusion.physical_tortuosity(by_phase, through, [1], rtol=1e-12), "sample")
     assert got["channel"] == pytest.approx(1, abs=1e-10) and got["detour"] == pytest.approx(1.96, abs=1e-9)
     assert got["blocked"] == got["empty"] == got["diagonal"] == math.inf
-    scaled = values(diffusion.physical_tortuosity(by_phase, through, sizes, [1], rtol=1e-12, diffusivity=3.5, voxel_size=0.25), "sample")
+    scaled = values(diffusion.physical_tortuosity(by_phase, through, [1], rtol=1e-12, diffusivity=3.5, voxel_size=0.25), "sample")
     assert scaled == pytest.approx(got, abs=1e-9)
     full = frames(spark, full=volume((8, 9, 10), 1), walls=staggered(20))
-    sizes, masks = source.dims(full).drop("n"), counts.phase_masks(full, [1])
-    through = connectivity.percolating(masks, sizes, [1, 2, 3])
-    got = values(diffusion.physical_tortuosity(counts.phase_counts(full, [1]), through, sizes, [1, 2, 3], rtol=1e-12), "sample", "dir")
+    through = connectivity.percolating(planes.pack(full), [1], [1, 2, 3])
+    got = values(diffusion.physical_tortuosity(counts.phase_counts(full, [1]), through, [1, 2, 3], rtol=1e-12), "sample", "dir")
     assert [got["full", d] for d in (1, 2, 3)] == pytest.approx([1, 1, 1], abs=1e-10)
     assert got["walls", 1] == pytest.approx(3.457139067908, abs=1e-8)
     for bad in ({"rtol": 0}, {"max_iterations": 0}, {"diffusivity": 0}, {"voxel_size": 0}, {"boundary_factor": 0}):
         with pytest.raises(ValueError):
-            diffusion.physical_tortuosity(by_phase, through, sizes, [1], **bad)
+            diffusion.physical_tortuosity(by_phase, through, [1], **bad)
     with pytest.raises(diffusion.NotConverged):
         diffusion.solve(staggered(8) == 1, 0, 2.0, 1e-12, 2)
 
@@ -132,7 +167,8 @@ def test_physical_tortuosity(spark, shapes):
 def test_system_rows_solve_to_the_same(spark):
     vox = frames(spark, walls=staggered(8))
     sizes = source.dims(vox).drop("n")
-    through = connectivity.percolating(counts.phase_masks(vox, [1]), sizes, [1])
+    masks = connectivity.percolating(planes.pack(vox), [1], [1])
+    through = connectivity.mask_voxels(masks)
     rows = diffusion.system(through, sizes).orderBy("z", "y", "x").collect()
     number = {(r.x, r.y, r.z): i for i, r in enumerate(rows)}
     a, b = np.diag([r.diagonal for r in rows]).astype(float), np.array([r.rhs for r in rows])
@@ -141,7 +177,7 @@ def test_system_rows_solve_to_the_same(spark):
     c = np.linalg.solve(a, b)
     flux = 2.0 * sum(v for v, r in zip(c, rows, strict=True) if r.outlet)
     tau = len(rows) / 512 / (flux * 8 / 64)
-    got = diffusion.physical_tortuosity(counts.phase_counts(vox, [1]), through, sizes, [1], rtol=1e-12).first()
+    got = diffusion.physical_tortuosity(counts.phase_counts(vox, [1]), masks, [1], rtol=1e-12).first()
     assert got.value == pytest.approx(tau, rel=1e-9) and got.iterations > 0
     x = diffusion.apply_operator(diffusion.system(through, sizes), through, "x0").orderBy("z", "y", "x").collect()
     assert [r.applied for r in x] == pytest.approx((a @ [r.x0 for r in rows]).tolist())
@@ -153,7 +189,7 @@ def test_chords(spark):
     vox = frames(spark, slabs=labels)
     sizes = source.dims(vox).drop("n")
     ray = [("slabs", j * 10 + k, 0.0, j + 0.5, k + 0.5, 1.0, 0.0, 0.0) for j in range(10) for k in range(10)]
-    runs = chords.chords(chords.segments(spark.createDataFrame(ray, "sample string, " + chords.RAY), sizes), vox)
+    runs = chords.chords(chords.segments(spark.createDataFrame(ray, "sample string, " + chords.RAY), sizes), planes.pack(vox))
     wanted = counts.phase_counts(vox, [1, 2])
     assert values(chords.mean_chord_length(runs, wanted, 0, 1.0), "phase") == pytest.approx({1: 12.5, 2: 5.0}, abs=1e-8)
     long = values(chords.mean_chord_length(runs, wanted, 11, 1.0), "phase")
@@ -173,7 +209,7 @@ def test_surface(spark):
     many = volume((20, 20, 20))
     g = np.indices((20, 20, 20))
     many[((g + 1 - 9.5) ** 2).sum(0) <= 49] = 1
-    got = values(surface.surface_area(frames(spark, cube=cube, ball=many), [1], 1.0, 1.0), "sample")
+    got = values(surface.surface_area(planes.pack(frames(spark, cube=cube, ball=many)), [1], 1.0, 1.0), "sample")
     assert got["cube"] == pytest.approx(0.06321800, abs=1e-7)
     assert got["cube"] == pytest.approx(0.06547, rel=0.1)
     assert sum(surface.kernel(1.3)) == pytest.approx(1) and len(surface.kernel(1.3)) == 9
@@ -188,12 +224,11 @@ def test_tpb(spark):
     x[:, 0, 0], x[:, 1, 0] = 1, 2
     active = volume((4, 2, 2), 3)
     active[:, 0, 0], active[:, 1, 0] = 1, 2
-    vox = frames(spark, none=volume((3, 3, 3), 1), z=z, y=y, x=x, z3=np.repeat(z, 3, 2), active=active)
+    vox = planes.pack(frames(spark, none=volume((3, 3, 3), 1), z=z, y=y, x=x, z3=np.repeat(z, 3, 2), active=active))
     got = {r["sample"]: r["n"] for r in counts.tpb_edges(vox).groupBy("sample").agg(F.sum("edges").alias("n")).collect()}
     assert got == {"none": 0, "z": 1, "y": 1, "x": 1, "z3": 3, "active": 4}
     assert values(counts.tpb_density(vox, 0.5), "sample")["z"] == pytest.approx(0.5 / (4 * 0.125))
-    through = connectivity.percolating(counts.phase_masks(vox, [1, 2]), source.dims(vox).drop("n"), [1, 2])
-    act = values(counts.active_tpb_density(vox, through, [1, 2], 1.0), "sample", "dir")
+    act = values(counts.active_tpb_density(connectivity.connected(vox, [1, 2]), [1, 2], 1.0), "sample", "dir")
     assert act["active", 1] == pytest.approx(4 / 16) and act["active", 2] == 0 and act["z", 1] == 0
     with pytest.raises(ValueError):
         counts.tpb_density(vox, 0)
@@ -257,6 +292,8 @@ def test_dense_check_sees_every_fault(spark):
     for bad in (swapped, good.withColumn("x", F.col("x") - 1), good.where("x = 1"), good.unionAll(good)):
         with pytest.raises(ValueError, match="not dense"):
             source.check_dense(bad)
+        with pytest.raises(ValueError, match="not dense"):
+            planes.check_axes(planes.pack(bad))
 
 
 @pytest.mark.parametrize("bad", [{"voxel_size": 0}, {"rays": 0}, {"min_chord": -1}, {"phases": ()}, {"phases": (1, 1)}, {"phases": (0,)}, {"direction": 4}, {"boundary_factor": 0}, {"rtol": 0}, {"max_iterations": 0}, {"recalculate_static": False, "static_phase": 9}])
@@ -301,14 +338,14 @@ def test_stream(spark, tmp_path):
 def test_golden_values(spark):
     year = (F.year("l_shipdate") - 1995).cast("string")
     vox = source.from_lineitem(spark, "/root/testdata/sf0.01", year).cache()
-    sizes, masks = source.dims(vox).drop("n"), counts.phase_masks(vox, [1, 2, 3])
-    assert {r["sample"]: r["n"] for r in counts.tpb_edges(vox).groupBy("sample").agg(F.sum("edges").alias("n")).collect()} == {"0": 488, "1": 439, "2": 405, "3": 432, "4": 441, "5": 411, "6": 471}
-    through = connectivity.percolating(masks, sizes, [1])
-    assert {(r["sample"], r.phase): r["count"] for r in through.groupBy("sample", "phase").count().collect()} == {("0", 1): 109, ("1", 1): 126, ("2", 1): 172, ("3", 1): 114, ("3", 2): 69, ("4", 1): 56, ("5", 1): 166, ("6", 1): 167}
+    of_planes = planes.pack(vox)
+    assert {r["sample"]: r["n"] for r in counts.tpb_edges(of_planes).groupBy("sample").agg(F.sum("edges").alias("n")).collect()} == {"0": 488, "1": 439, "2": 405, "3": 432, "4": 441, "5": 411, "6": 471}
+    through = connectivity.percolating(of_planes, [1, 2, 3], [1])
+    assert {(r["sample"], r.phase): r["n"] for r in through.groupBy("sample", "phase").agg(F.sum("cells").alias("n")).collect()} == {("0", 1): 109, ("1", 1): 126, ("2", 1): 172, ("3", 1): 114, ("3", 2): 69, ("4", 1): 56, ("5", 1): 166, ("6", 1): 167}
     by_phase = counts.phase_counts(vox, [1, 2, 3])
-    gt = values(connectivity.geometric_tortuosity(by_phase, connectivity.geodesic_distance(through, sizes), sizes, [1]), "sample", "phase")
+    gt = values(connectivity.geometric_tortuosity(by_phase, connectivity.geodesic_distance(through), [1]), "sample", "phase")
     assert gt["0", 1] == pytest.approx(1.642857, abs=1e-6) and gt["3", 2] == pytest.approx(1.904762, abs=1e-6) and gt["4", 3] == math.inf
-    pt = values(diffusion.physical_tortuosity(by_phase, through, sizes, [1], rtol=1e-12), "sample", "phase")
+    pt = values(diffusion.physical_tortuosity(by_phase, through, [1], rtol=1e-12), "sample", "phase")
     assert pt["0", 1] == pytest.approx(10.972020323, abs=1e-8) and pt["3", 2] == pytest.approx(12.767340294, abs=1e-8)
 
 

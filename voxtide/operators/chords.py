@@ -1,16 +1,21 @@
 """Chord lengths: runs of one phase along rays through a volume.
 
 A ray is cut at every voxel plane that it crosses; each piece lies in one
-voxel, found by its middle; runs of equal phase are islands of a window.
+voxel, found by its middle and looked up in its plane; runs of equal phase are
+islands of a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtide.functions.columns import AXES, CELL
+from voxtide.functions.columns import AXES
+from voxtide.sources.planes import unpacked
 
 #: A direction component below this is parallel to the planes; pieces shorter than NONE are corners.
 PARALLEL, NONE = 2.220446049250313e-16, 1e-10
@@ -57,11 +62,28 @@ def segments(rays: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select("sample", "ray_id", F.col("s.a").alias("t"), (F.col("s.b") - F.col("s.a")).alias("length"), *map(cell, AXES))
 
 
-def chords(pieces: DataFrame, voxels: DataFrame) -> DataFrame:
+def looked_up(pieces: DataFrame, planes: DataFrame) -> DataFrame:
+    """sample, ray_id, t, length, phase: a plane meets the pieces that lie in it; no voxels are shuffled."""
+    there = pieces.groupBy("sample", "x").agg(F.collect_list(F.struct("ray_id", "t", "length", "y", "z")).alias("pieces"))
+    schema = "sample string, ray_id long, t double, length double, phase long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                sample, ny, nz, data = (batch.column(c)[k].as_py() for c in ("sample", "ny", "nz", "labels"))
+                here = batch.column("pieces").slice(k, 1).flatten()
+                at = {c: here.field(c) for c in ("ray_id", "t", "length", "y", "z")}
+                cell = (at["y"].to_numpy() - 1) * nz + at["z"].to_numpy() - 1
+                yield pa.RecordBatch.from_arrays([pa.array([sample] * len(cell), pa.string()), at["ray_id"], at["t"], at["length"], pa.array(unpacked(data, ny * nz)[cell].astype(np.int64))], names=["sample", "ray_id", "t", "length", "phase"])
+
+    return planes.join(there, ["sample", "x"]).select("sample", "ny", "nz", "labels", "pieces").mapInArrow(run, schema)
+
+
+def chords(pieces: DataFrame, planes: DataFrame) -> DataFrame:
     """sample, ray_id, phase, start, length of every run of one phase."""
-    rows = pieces.join(voxels, CELL)
+    rows = looked_up(pieces, planes)
     ray = Window.partitionBy("sample", "ray_id").orderBy("t")
-    changed = rows.withColumn("new", (F.col("phase") != F.coalesce(F.lag("phase").over(ray), F.lit(-1))).cast("int"))
+    changed = rows.withColumn("new", (~F.col("phase").eqNullSafe(F.lag("phase").over(ray))).cast("int"))
     island = changed.withColumn("island", F.sum("new").over(ray))
     return island.groupBy("sample", "ray_id", "island").agg(F.first("phase").alias("phase"), F.min("t").alias("start"), F.sum("length").alias("length")).drop("island")
 
@@ -72,4 +94,4 @@ def mean_chord_length(runs: DataFrame, wanted: DataFrame, min_chord: float = 4.0
     return wanted.select("sample", "phase").join(mean, ["sample", "phase"], "left").select("sample", "phase", F.coalesce("value", F.lit(float("nan"))).alias("value"))
 
 
-__all__ = ["RAY", "chords", "mean_chord_length", "random_rays", "segments"]
+__all__ = ["RAY", "chords", "looked_up", "mean_chord_length", "random_rays", "segments"]

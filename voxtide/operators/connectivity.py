@@ -1,44 +1,49 @@
-"""Percolation and geodesic distances through face neighbours.
-
-Connected parts are found slab by slab: each slab of a volume is labelled in
-one task, labels that touch across slabs are linked by a join, and the links'
-components, a graph of labels and not of voxels, are found by rounds of stored
-tables.  A volume may thus be larger than a task.  One labelling serves every
-direction: a part percolates along an axis if it touches both of its faces.
+"""Percolation and geodesic distances through face neighbours, on planes.
+
+Connected parts are found slab by slab, on runs of equal labels along z: runs
+of neighbouring lines that overlap are linked and the links' components found
+in the task.  Parts that touch across slabs are linked by a join of the border
+planes, and the links' components, a graph of parts and not of voxels, are
+found by rounds of stored tables.  Each part learns which of the volume's six
+faces it touches, so one labelling serves every direction: a part percolates
+along an axis if it touches both of its faces.
+
+Distances are found by block relaxation: each slab searches its own part, level
+by level, from the distances at its borders; slabs exchange border planes until
+nothing changes, so rounds follow the number of slab crossings of the shortest
+ways, not their length.  A mask of up to TASK_CELLS is one slab in one task, and
+many masks run side by side; a larger one has a slab in each task of a line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from voxtide.functions.columns import AXES, axis_value, literal_rows, size_along
+from voxtide.functions.columns import literal_rows
+from voxtide.functions.line import Line, along_lines
 from voxtide.functions.tables import stored
-from voxtide.sources.voxels import dims
+from voxtide.sources.planes import SLAB_VOXELS, block, in_slabs, unpacked
 
-#: Voxels of a slab that one task labels at most (a layer may be larger).
-SLAB_VOXELS = 4_000_000
 KEY = ["sample", "phase"]
-
-
-def neighbours(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of face-adjacent pairs of true cells of a 3-D mask, cells counted in C order."""
-    number = np.arange(mask.size).reshape(mask.shape)
-    pairs = []
-    for axis in range(3):
-        a, b = [slice(None)] * 3, [slice(None)] * 3
-        a[axis], b[axis] = slice(None, -1), slice(1, None)
-        both = mask[tuple(a)] & mask[tuple(b)]
-        pairs.append((number[tuple(a)][both], number[tuple(b)][both]))
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-
-
-def label(mask: np.ndarray) -> np.ndarray:
-    """Least cell number of each cell's part, by hooking and pointer jumping."""
-    one, other = neighbours(mask)
-    root = np.arange(mask.size)
+MASK = [*KEY, "dir"]
+#: Voxels of a volume up to which a solve or a search is one task.
+TASK_CELLS = 4_200_000
+CONNECTED = "sample string, x int, nx int, ny int, nz int, labels binary, faces binary"
+MASKS = "sample string, phase int, dir int, x int, nx int, ny int, nz int, cells long, bits binary"
+DISTANCES = "sample string, phase int, dir int, x int, nx int, ny int, nz int, bits binary, steps binary"
+FAR = np.iinfo(np.int32).max
+
+
+def roots(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Least member of each of n things' part, by hooking the linked pairs and pointer jumping."""
+    root = np.arange(n)
     while len(one):
         a, b = root[one], root[other]
         open_ = a != b
@@ -54,68 +59,204 @@ def label(mask: np.ndarray) -> np.ndarray:
     return root
 
 
-def labelled(masks: DataFrame, sizes: DataFrame, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
-    """masks (sample, phase, x, y, z) with slab and part, a number unique in its sample and phase."""
-    depth = F.greatest(F.lit(1), F.floor(F.lit(slab_voxels) / (F.col("nx") * F.col("ny")))).cast("int")
-    rows = masks.join(sizes, "sample").withColumn("slab", F.floor((F.col("z") - 1) / depth).cast("int"))
-    # part: number of the first voxel, x fastest, from 0
-    first = (F.col("x") - 1) + (F.col("y") - 1) * F.col("nx").cast("long") + (F.col("z") - 1) * F.col("nx").cast("long") * F.col("ny")
-    rows = rows.select(*KEY, "slab", *AXES, first.alias("part"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = tuple(pdf[a].to_numpy() - pdf[a].min() for a in AXES)
-        mask = np.zeros([int(c.max()) + 1 for c in at], bool)
-        mask[at] = True
-        root = label(mask)[np.ravel_multi_index(at, mask.shape)]
-        return pdf.assign(part=pdf.groupby(root)["part"].transform("min"))
-
-    return rows.groupBy(*KEY, "slab").applyInPandas(run, rows.schema)
+def runs(labels: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first cell, length, part's first run) of every run of one label along the last axis, and of which wanted ones are linked.
 
-
-def merged(parts: DataFrame) -> DataFrame:
-    """parts with part replaced by the least part that it is joined with across slabs."""
-    edge = parts.groupBy(*KEY, "slab").agg(F.min("z").alias("low"), F.max("z").alias("high"))
-    upper = parts.join(edge, [*KEY, "slab"]).where("z = low").select(*KEY, "x", "y", F.col("z"), F.col("part").alias("b"), (F.col("slab") - 1).alias("slab"))
-    lower = parts.select(*KEY, "slab", "x", "y", (F.col("z") + 1).alias("z"), F.col("part").alias("a"))
-    links = stored(lower.join(upper, [*KEY, "slab", "x", "y", "z"]).select(*KEY, "a", "b").distinct(), "links")
+    Cells are counted in C order; runs of labels that are not wanted are linked with none.
+    """
+    starts_here = np.ones(labels.shape, bool)
+    starts_here[..., 1:] = labels[..., 1:] != labels[..., :-1]
+    starts = np.flatnonzero(starts_here)
+    number = (np.cumsum(starts_here.ravel(), dtype=np.int32) - 1).reshape(labels.shape)
+    pairs = []
+    for axis in (0, 1):
+        a, b = [slice(None)] * 3, [slice(None)] * 3
+        a[axis], b[axis] = slice(None, -1), slice(1, None)
+        a, b = tuple(a), tuple(b)
+        # an overlap begins where either run does
+        overlap = (labels[a] == labels[b]) & wanted[a] & (starts_here[a] | starts_here[b])
+        pairs.append((number[a][overlap], number[b][overlap]))
+    root = roots(len(starts), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+    return starts, np.diff(np.r_[starts, labels.size]), root
+
+
+def _slab_parts(phases: tuple[int, ...], arrow: pa.Schema):
+    """A slab's planes with its runs and their parts (number of the part's first cell in the volume), and rows of the parts that touch a face of the volume or the slab."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, labels = block(rows)
+        sample, slab, x0, x1, nx, ny, nz = (rows[c][0].as_py() for c in ("sample", "slab", "x0", "x1", "nx", "ny", "nz"))
+        wanted = np.isin(labels, phases)
+        starts, lengths, root = runs(labels, wanted)
+        kept = wanted.ravel()[starts]
+        starts, lengths, root = starts[kept], lengths[kept], starts[root[kept]]
+        part = root + (x0 - 1) * ny * nz
+        at = starts // (ny * nz)
+        y, z = starts // nz % ny + 1, starts % nz + 1
+        touched = sum((np.asarray(hit).astype(np.int64) << k for k, hit in enumerate((at + x0 == 1, at + x0 == nx, y == 1, y == ny, z == 1, z + lengths - 1 == nz))), np.zeros(len(starts), np.int64))
+        open_ = (touched > 0) | (at == 0) | (at + x0 == x1)
+        order = np.argsort(part[open_], kind="stable")
+        parts, first = np.unique(part[open_][order], return_index=True)
+        faces = np.bitwise_or.reduceat(touched[open_][order], first) if len(first) else first
+        ends = np.searchsorted(at, np.arange(len(x) + 1))
+        cells = starts - at * ny * nz
+        n, columns = len(x), {name: [] for name in arrow.names}
+        for k in range(n):
+            own = slice(ends[k], ends[k + 1])
+            row = {"x": int(x[k]), "labels": np.ascontiguousarray(labels[k]).tobytes(), "starts": cells[own].astype(np.int32).tobytes(), "lengths": lengths[own].astype(np.int32).tobytes(), "parts": part[own].astype(np.int64).tobytes()}
+            for name in arrow.names:
+                columns[name].append(row.get(name))
+        columns |= {c: [v] * n for c, v in (("sample", sample), ("slab", slab), ("x0", x0), ("x1", x1), ("nx", nx), ("ny", ny), ("nz", nz))}
+        none = lambda m, name: pa.nulls(m, arrow.field(name).type)
+        planes = pa.table({name: pa.array(columns[name], arrow.field(name).type) for name in arrow.names})
+        m = len(parts)
+        own = {"sample": pa.array([sample] * m, pa.string()), "slab": pa.array([slab] * m, pa.int32()), "part": pa.array(parts.astype(np.int64)), "faces": pa.array(faces.astype(np.int32))}
+        return pa.concat_tables([planes, pa.table({name: own.get(name, none(m, name)) for name in arrow.names}).cast(arrow)])
+
+    return run
+
+
+def _plane_parts(starts: bytes, lengths: bytes, parts: bytes, cells: int) -> np.ndarray:
+    """The part of every cell of a plane, -1 elsewhere."""
+    out = np.full(cells, -1, np.int64)
+    at, n = np.frombuffer(starts, np.int32), np.frombuffer(lengths, np.int32)
+    inside = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]] if len(n) else at, n) + np.arange(n.sum())
+    out[inside] = np.repeat(np.frombuffer(parts, np.int64), n)
+    return out
+
+
+def _border_links(planes: DataFrame) -> DataFrame:
+    """sample, a, b: parts of neighbouring slabs with a common face; both border planes of a slab meet those of the next."""
+    side = lambda end, prefix: planes.where(F.col("x") == F.col(end)).select("sample", F.col("slab"), *(F.col(c).alias(f"{prefix}{c}") for c in ("labels", "starts", "lengths", "parts")), *(["ny", "nz"] if prefix == "a_" else []))
+    lower = side("x1", "a_")
+    upper = side("x0", "b_").withColumn("slab", F.col("slab") - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                cells = row["ny"] * row["nz"]
+                a, b = (_plane_parts(row[f"{s}starts"], row[f"{s}lengths"], row[f"{s}parts"], cells) for s in ("a_", "b_"))
+                same = (a >= 0) & (b >= 0) & (unpacked(row["a_labels"], cells) == unpacked(row["b_labels"], cells))
+                pairs = np.unique(np.stack([a[same], b[same]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([row["sample"]] * len(pairs), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sample", "a", "b"])
+
+    return lower.join(upper, ["sample", "slab"]).drop("slab").mapInArrow(run, "sample string, a long, b long")
+
+
+def _tops(links: DataFrame) -> DataFrame | None:
+    """sample, part, top: the least part that each linked part is connected with, by rounds of stored tables; None without links."""
+    links = stored(links, "links")
     if links.isEmpty():
-        return parts
-    both = links.unionByName(links.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b")))
-    now = stored(both.groupBy(*KEY, "a").agg(F.min("b").alias("b")).select(*KEY, F.col("a").alias("part"), F.least("a", "b").alias("top")), "tops")
+        return None
+    both = links.unionByName(links.select("sample", F.col("b").alias("a"), F.col("a").alias("b")))
+    now = stored(both.groupBy("sample", "a").agg(F.min("b").alias("b")).select("sample", F.col("a").alias("part"), F.least("a", "b").alias("top")), "tops")
     while True:
-        near = both.join(now.withColumnRenamed("part", "b"), [*KEY, "b"]).groupBy(*KEY, F.col("a").alias("part")).agg(F.min("top").alias("near"))
-        step = now.join(near, [*KEY, "part"]).select(*KEY, "part", F.least("top", "near").alias("mid"), F.col("top").alias("old"))
-        up = now.select(*KEY, F.col("part").alias("mid"), F.col("top").alias("up"))
-        after = stored(step.join(up, [*KEY, "mid"]).select(*KEY, "part", F.least("mid", "up").alias("top"), "old"), "tops")
-        now = after.select(*KEY, "part", "top")
+        near = both.join(now.withColumnRenamed("part", "b"), ["sample", "b"]).groupBy("sample", F.col("a").alias("part")).agg(F.min("top").alias("near"))
+        step = now.join(near, ["sample", "part"]).select("sample", "part", F.least("top", "near").alias("mid"), F.col("top").alias("old"))
+        up = now.select("sample", F.col("part").alias("mid"), F.col("top").alias("up"))
+        after = stored(step.join(up, ["sample", "mid"]).select("sample", "part", F.least("mid", "up").alias("top"), "old"), "tops")
+        now = after.select("sample", "part", "top")
         if after.where("top <> old").isEmpty():
-            break
-    return parts.join(now, [*KEY, "part"], "left").withColumn("part", F.coalesce("top", "part")).drop("top")
-
-
-def components(masks: DataFrame, sizes: DataFrame, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
-    """masks (sample, phase, x, y, z) with part."""
-    return merged(stored(labelled(masks, sizes, slab_voxels), "parts")).drop("slab")
-
-
-def _by_direction(parts: DataFrame, sizes: DataFrame, directions) -> DataFrame:
-    dirs = F.explode(F.array(*(F.lit(int(d)) for d in directions)))
-    rows = parts.join(sizes, "sample").withColumn("dir", dirs)
-    return rows.withColumns({"at": axis_value(F.col("dir")), "last": size_along(F.col("dir"))})
-
-
-def reachable(masks: DataFrame, sizes: DataFrame, direction: int, far: bool, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
-    """The voxels connected to the first (or, far, the last) face across a direction."""
-    parts = stored(_by_direction(components(masks, sizes, slab_voxels), sizes, [direction]), "parts")
-    face = parts.where(F.col("at") == (F.col("last") if far else F.lit(1))).select(*KEY, "part").distinct()
-    return parts.join(face, [*KEY, "part"], "left_semi").select(*KEY, *AXES)
-
-
-def percolating(masks: DataFrame, sizes: DataFrame, directions, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
-    """sample, phase, dir, x, y, z of the voxels whose part touches both faces across dir."""
-    parts = stored(_by_direction(components(masks, sizes, slab_voxels), sizes, directions), "parts")
-    through = parts.groupBy(*KEY, "dir", "part").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("last").alias("last")).where("low = 1 and high = last")
-    return parts.join(through.select(*KEY, "dir", "part"), [*KEY, "dir", "part"], "left_semi").select(*KEY, "dir", *AXES)
+            return now
+
+
+def connected(planes: DataFrame, phases, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
+    """planes with faces, a byte a voxel: bits 2 d - 2 and 2 d - 1 are set where its part touches the first and last face across direction d; 0 for other phases."""
+    phases = tuple(int(p) for p in phases)
+    schema = "sample string, slab int, x int, x0 int, x1 int, nx int, ny int, nz int, labels binary, starts binary, lengths binary, parts binary, part long, faces int"
+    labelled = stored(in_slabs(planes, slab_voxels).groupBy("sample", "slab").applyInArrow(_slab_parts(phases, to_arrow_schema(StructType.fromDDL(schema))), schema), "slab-parts")
+    own = labelled.where("part is null")
+    parts = labelled.where("part is not null").select("sample", "slab", "part", "faces")
+    tops = _tops(_border_links(own))
+    if tops is not None:
+        parts = parts.join(tops, ["sample", "part"], "left").withColumn("top", F.coalesce("top", "part"))
+        whole = parts.groupBy("sample", "top").agg(F.bit_or("faces").alias("all"))
+        parts = parts.join(whole, ["sample", "top"]).select("sample", "slab", "part", F.col("all").alias("faces"))
+    parts = parts.where("faces > 0").select(*(F.col(c).alias(c) for c in ("sample", "slab", "part", "faces")))  # columns of their own beside the planes'
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(found["part"].to_numpy(), kind="stable")
+        part, faces = found["part"].to_numpy()[order], found["faces"].to_numpy()[order].astype(np.uint8)
+        out = []
+        for row in rows.to_pylist():
+            cells = row["ny"] * row["nz"]
+            own = _plane_parts(row["starts"], row["lengths"], row["parts"], cells)
+            at = np.minimum(np.searchsorted(part, own), max(len(part) - 1, 0))
+            hit = part[at] == own if len(part) else np.zeros(cells, bool)
+            out.append(np.where(hit, faces[at] if len(part) else 0, 0).astype(np.uint8).tobytes())
+        return rows.select(["sample", "x", "nx", "ny", "nz", "labels"]).append_column("faces", pa.array(out, pa.binary()))
+
+    carried = own.select("sample", "slab", "x", "nx", "ny", "nz", "labels", "starts", "lengths", "parts")
+    return carried.groupBy("sample", "slab").cogroup(parts.groupBy("sample", "slab")).applyInArrow(run, CONNECTED)
+
+
+def mask_planes(planes: DataFrame, phases, directions) -> DataFrame:
+    """sample, phase, dir, x, nx, ny, nz, cells and bits (a bit a voxel, z fastest) of the percolating voxels of connected planes; planes without any have no row."""
+    wanted = [(int(p), int(d)) for p in phases for d in directions]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                cells = row["ny"] * row["nz"]
+                labels, faces = unpacked(row["labels"], cells), np.frombuffer(row["faces"], np.uint8)
+                out = []
+                for phase, direction in wanted:
+                    inside = (labels == phase) & (faces >> (2 * direction - 2) & 3 == 3)
+                    if n := int(inside.sum()):
+                        out.append((row["sample"], phase, direction, row["x"], row["nx"], row["ny"], row["nz"], n, np.packbits(inside).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=names)
+
+    names = ["sample", "phase", "dir", "x", "nx", "ny", "nz", "cells", "bits"]
+    kinds = [pa.string(), *[pa.int32()] * 6, pa.int64(), pa.binary()]
+    return planes.mapInArrow(run, MASKS)
+
+
+def bits(row: dict) -> np.ndarray:
+    """A mask plane's cells as booleans."""
+    return np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=row["ny"] * row["nz"]).astype(bool)
+
+
+def mask_voxels(masks: DataFrame, values: str | None = None) -> DataFrame:
+    """sample, phase, dir, x, y, z of every voxel of mask planes, and d, the values' number of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                at = np.flatnonzero(bits(row))
+                n, nz = len(at), row["nz"]
+                columns = [pa.array([row["sample"]] * n, pa.string()), *(np.full(n, row[c], np.int32) for c in ("phase", "dir", "x")), (at // nz + 1).astype(np.int32), (at % nz + 1).astype(np.int32)]
+                if values:
+                    columns.append(np.frombuffer(row[values], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = [*MASK, "x", "y", "z", *(["d"] if values else [])]
+    schema = "sample string, phase int, dir int, x int, y int, z int" + (", d int" if values else "")
+    return masks.select(*MASK, "x", "ny", "nz", "bits", *([values] if values else [])).mapInArrow(run, schema)
+
+
+def percolating(planes: DataFrame, phases, directions, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
+    """Stored mask planes of the voxels whose part touches both faces across dir."""
+    return stored(mask_planes(connected(planes, phases, slab_voxels), phases, directions), "percolating")
+
+
+def reachable(planes: DataFrame, phases, direction: int, far: bool, slab_voxels: int = SLAB_VOXELS) -> DataFrame:
+    """sample, phase, x, y, z of the voxels connected to the first (or, far, the last) face across a direction."""
+    bit = 1 << (2 * int(direction) - 2 + int(far))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                nz = row["nz"]
+                labels = unpacked(row["labels"], row["ny"] * nz)
+                at = np.flatnonzero(np.frombuffer(row["faces"], np.uint8) & bit)
+                columns = [pa.array([row["sample"]] * len(at), pa.string()), labels[at].astype(np.int32), np.full(len(at), row["x"], np.int32), (at // nz + 1).astype(np.int32), (at % nz + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sample", "phase", "x", "y", "z"])
+
+    return connected(planes, phases, slab_voxels).mapInArrow(run, "sample string, phase int, x int, y int, z int")
 
 
 def per_direction(counts: DataFrame, directions) -> DataFrame:
@@ -123,90 +264,118 @@ def per_direction(counts: DataFrame, directions) -> DataFrame:
     return counts.join(F.broadcast(literal_rows(counts.sparkSession, "dir", directions)))  # at most three rows
 
 
-def percolating_fraction(counts: DataFrame, through: DataFrame, directions) -> DataFrame:
+def percolating_fraction(counts: DataFrame, masks: DataFrame, directions) -> DataFrame:
     """sample, phase, dir, value: percolating voxels over the phase's voxels, 0 for a phase without voxels."""
-    found = through.groupBy(*KEY, "dir").agg(F.count("*").alias("n"))
-    rows = per_direction(counts, directions).join(found, [*KEY, "dir"], "left")
-    return rows.select(*KEY, "dir", F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.col("voxels").cast("double")), F.lit(0.0)).alias("value"))
-
-
-def by_planes(through: DataFrame, sizes: DataFrame) -> DataFrame:
-    """through (sample, phase, dir, x, y, z) as one row a plane across x: its cells' numbers (y - 1) * nz + z - 1, and the volume's nx, ny, nz."""
-    number = ((F.col("y") - 1) * F.col("nz") + F.col("z") - 1).cast("int")
-    return through.join(sizes, "sample").groupBy(*KEY, "dir", "x", "nx", "ny", "nz").agg(F.collect_list(number).alias("cells"))
-
+    found = masks.groupBy(*MASK).agg(F.sum("cells").alias("n"))
+    rows = per_direction(counts, directions).join(found, MASK, "left")
+    return rows.select(*MASK, F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.col("voxels").cast("double")), F.lit(0.0)).alias("value"))
+
+
+def slab_mask(first: int, last: int, head: dict, rows: list[dict]) -> np.ndarray:
+    """The mask's planes first to last."""
+    mask = np.zeros((last - first + 1, head["ny"], head["nz"]), bool)
+    for row in rows:
+        mask[row["x"] - first] = bits(row).reshape(mask.shape[1:])
+    return mask
+
+
+def by_mask(masks: DataFrame, kernel: Callable, schema: str, task_cells: int = TASK_CELLS, slabs: int | None = None) -> DataFrame:
+    """kernel(line, first, last, head, rows) of every mask: those of volumes up to task_cells in a task of their own, larger ones along lines of tasks."""
+
+    def alone(rows: pa.Table) -> pa.Table:
+        each = sorted(rows.to_pylist(), key=lambda r: r["x"])
+        return pa.Table.from_batches(kernel(Line(), 1, each[0]["nx"], each[0], each))
+
+    large = F.col("nx").cast("long") * F.col("ny") * F.col("nz") > task_cells
+    single = masks.where(~large).groupBy(*MASK).applyInArrow(alone, schema)
+    if masks.where(large).isEmpty():
+        return single
+    # a table of its own: a barrier stage cannot be one side of a union
+    return single.unionByName(stored(along_lines(masks.where(large), MASK, kernel, schema, slabs), "along-lines"))
+
+
+def search(free: np.ndarray, dist: np.ndarray, seeds: np.ndarray, moves: np.ndarray, spare: np.ndarray) -> None:
+    """Lower dist (flat, by free cells) from the seeds on, whose distances are set, level by level; spare is as long as dist."""
+    seeds = seeds[np.argsort(dist[seeds], kind="stable")]
+    level, next_ = dist[seeds], 0
+    front, step = seeds[:0], 0
+    while len(front) or next_ < len(seeds):
+        if not len(front):
+            step = int(level[next_])
+        end = int(np.searchsorted(level, step, side="right"))
+        if end > next_:
+            fresh = seeds[next_:end]
+            front = np.concatenate([front, fresh[dist[fresh] == step]])
+            next_ = end
+        near = (front[:, None] + moves).ravel()
+        near = near[free[near] & (dist[near] > step + 1)]
+        dist[near] = step + 1
+        step += 1
+        turn = np.arange(len(near), dtype=np.int32)
+        spare[near] = turn  # of a cell's several ways here the last one stays
+        front = near[spare[near] == turn]
 
-def mask_of(planes: pd.DataFrame) -> np.ndarray:
-    """The mask whose planes these are."""
-    nx, ny, nz = (int(v) for v in planes[["nx", "ny", "nz"]].iloc[0])
-    mask = np.zeros((nx, ny * nz), bool)
-    for x, cells in zip(planes["x"], planes["cells"], strict=True):
-        mask[x - 1, cells] = True
-    return mask.reshape(nx, ny, nz)
 
+def distances(mask: np.ndarray, axis: int, line: Line = Line(), last: bool = True) -> np.ndarray:
+    """Steps from the last face across axis through face neighbours, -1 where it cannot be reached.
 
-def distances(mask: np.ndarray, axis: int) -> np.ndarray:
-    """Steps from the last face across axis through face neighbours, -1 where it cannot be reached."""
+    mask is this task's slab across the first axis; last tells whether it holds the volume's last planes.
+    """
     free = np.pad(mask, 1)  # an empty border: a neighbour is a fixed number of cells away
-    dist = np.full(free.shape, -1, np.int32)
+    dist = np.full(free.shape, FAR, np.int32)
     outlet = np.zeros_like(free)
-    outlet.swapaxes(0, axis)[-2] = True
-    front = np.flatnonzero(free & outlet)
+    if axis or last:
+        outlet.swapaxes(0, axis)[-2] = True
     moves = np.array([s * m for m in (1, free.shape[2], free.shape[1] * free.shape[2]) for s in (-1, 1)])
-    free, flat, step = free.ravel(), dist.ravel(), 0
-    while len(front):
-        flat[front] = step
-        free[front] = False
-        near = (front[:, None] + moves).ravel()
-        near = near[free[near]]
-        turn = np.arange(len(near), dtype=np.int32)
-        flat[near] = turn  # of a cell's several ways here the last one stays
-        front = near[flat[near] == turn]
-        step += 1
-    return dist[1:-1, 1:-1, 1:-1]
-
-
-def geodesic_distance(through: DataFrame, sizes: DataFrame) -> DataFrame:
-    """through (sample, phase, dir, x, y, z) with d, steps from the outlet face; one task a mask.
+    dist[free & outlet] = 0
+    seeds = np.flatnonzero(free & outlet)
+    layer = free.shape[1] * free.shape[2]
+    borders = (slice(layer, 2 * layer), slice(free.size - 2 * layer, free.size - layer))
+    flat, open_, spare = dist.ravel(), free.ravel(), np.empty(free.size, np.int32)
+    while True:
+        search(open_, flat, seeds, moves, spare)
+        found = []
+        for own, theirs in zip(borders, line.exchange(flat[borders[0]], flat[borders[1]]), strict=True):
+            if theirs is not None:
+                nearer = np.flatnonzero(open_[own] & (theirs < flat[own] - 1))
+                flat[own][nearer] = theirs[nearer] + 1
+                found.append(nearer + own.start)
+        seeds = np.concatenate(found) if found else seeds[:0]
+        if not line.sums(len(seeds))[0]:
+            return np.where(dist == FAR, -1, dist)[1:-1, 1:-1, 1:-1]
+
+
+def _distance_kernel(line: Line, first: int, last: int, head: dict, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    mask = slab_mask(first, last, head, rows)
+    far = distances(mask, head["dir"] - 1, line, last == head["nx"])
+    for row in rows:
+        k = row["x"] - first
+        out = [row[c] for c in ("sample", "phase", "dir", "x", "nx", "ny", "nz", "bits")] + [far[k][mask[k]].astype(np.int32).tobytes()]
+        kinds = [pa.string(), *[pa.int32()] * 6, pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names=["sample", "phase", "dir", "x", "nx", "ny", "nz", "bits", "steps"])
+
+
+def geodesic_distance(masks: DataFrame, task_cells: int = TASK_CELLS, slabs: int | None = None) -> DataFrame:
+    """Mask planes with steps, the number of steps of each of their voxels from the outlet face.
 
     Every way from inlet to outlet lies in the percolating voxels, so they are enough for tortuosity.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = mask_of(pdf)
-        far = distances(mask, int(pdf["dir"].iloc[0]) - 1).reshape(len(mask), -1)
-        return pdf.assign(d=[far[x - 1, cells] for x, cells in zip(pdf["x"], pdf["cells"], strict=True)])[kept]
-
-    kind = {f.name: f.dataType.simpleString() for f in through.schema}
-    kept = [*KEY, "dir", "x", "nz", "cells", "d"]
-    schema = ", ".join(f"{c} {kind[c]}" for c in (*KEY, "dir", "x")) + ", nz int, cells array<int>, d array<int>"
-    solved = by_planes(through, sizes).groupBy(*KEY, "dir").applyInPandas(run, schema)
-    each = solved.select(*KEY, "dir", "x", "nz", F.inline(F.arrays_zip("cells", "d")))
-    y, z = F.expr("cells div nz + 1"), F.col("cells") % F.col("nz") + 1
-    return each.select(*KEY, "dir", "x", y.cast(kind["y"]).alias("y"), z.cast(kind["z"]).alias("z"), "d")
-
-
-def geodesic_distance_by_joins(through: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The same for masks beyond one task: a join with the neighbours of the front and a stored table each step."""
-    rows = through.join(sizes, "sample")
-    cells = stored(rows.select(*KEY, "dir", *AXES, (axis_value(F.col("dir")) == size_along(F.col("dir"))).alias("outlet")), "cells")
-    key = [*KEY, "dir", *AXES]
-    front = done = stored(cells.where("outlet").select(*key, F.lit(0).alias("d")), "front")
-    moves = F.array(*(F.struct(*(F.lit(v).alias(f"m{a}") for a, v in zip(AXES, m, strict=True))) for m in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))))
-    step = 0
-    while not front.isEmpty():
-        step += 1
-        grown = front.withColumn("m", F.explode(moves)).select(*KEY, "dir", *((F.col(a) + F.col(f"m.m{a}")).alias(a) for a in AXES)).distinct()
-        front = stored(grown.join(cells.select(*key), key, "left_semi").join(done.select(*key), key, "left_anti").withColumn("d", F.lit(step)), "front")
-        done = done.unionByName(front)
-    return done
+    return by_mask(masks, _distance_kernel, DISTANCES, task_cells, slabs)
 
 
-def geometric_tortuosity(counts: DataFrame, distance: DataFrame, sizes: DataFrame, directions) -> DataFrame:
+def geometric_tortuosity(counts: DataFrame, distance: DataFrame, directions) -> DataFrame:
     """sample, phase, dir, value: mean inlet distance over the straight one, infinite where nothing percolates."""
-    rows = distance.join(sizes, "sample").where((axis_value(F.col("dir")) == 1) & (F.col("d") >= 0))
-    mean = rows.groupBy(*KEY, "dir").agg((F.avg("d") / F.greatest(F.max(size_along(F.col("dir"))) - 1, F.lit(1))).alias("mean"))
-    return per_direction(counts, directions).join(mean, [*KEY, "dir"], "left").select(*KEY, "dir", F.coalesce("mean", F.lit(float("inf"))).alias("value"))
-
-
-__all__ = ["by_planes", "components", "dims", "distances", "geodesic_distance", "geodesic_distance_by_joins", "geometric_tortuosity", "label", "mask_of", "percolating", "percolating_fraction", "per_direction", "reachable"]
+    schema = "sample string, phase int, dir int, length int, n long, total long"
+
+    def inlet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                at, d = np.flatnonzero(bits(row)), np.frombuffer(row["steps"], np.int32).astype(np.int64)
+                first = {1: np.full(len(at), row["x"] == 1), 2: at < row["nz"], 3: at % row["nz"] == 0}[row["dir"]] & (d >= 0)
+                length = row[("nx", "ny", "nz")[row["dir"] - 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([row["sample"]], pa.string()), *(pa.array([v], pa.int32()) for v in (row["phase"], row["dir"], length)), pa.array([int(first.sum())]), pa.array([int(d[first].sum())])], names=[*MASK, "length", "n", "total"])
+
+    sums = distance.mapInArrow(inlet, schema).groupBy(*MASK).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("length").alias("length"))
+    mean = sums.select(*MASK, (F.try_divide(F.col("total").cast("double"), F.col("n").cast("double")) / F.greatest(F.col("length") - 1, F.lit(1))).alias("mean"))
+    return per_direction(counts, directions).join(mean, MASK, "left").select(*MASK, F.coalesce("mean", F.lit(float("inf"))).alias("value"))

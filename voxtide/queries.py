@@ -7,6 +7,7 @@ self-joins for windows, recursion for labelling and for search.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from voxtide.functions.columns import AXES, CELL, linear_index, mean_of_finite
 from voxtide.functions.tables import stored
 from voxtide.jobs import features
 from voxtide.operators import chords, connectivity, counts, diffusion, surface
+from voxtide.sources import planes
 from voxtide.sources import voxels as source
 
 PHASES, DIRECTIONS, SIZE, SIGMA, FACTOR = (1, 2, 3), (1, 2, 3), 0.5, 1.0, 2.0
@@ -37,8 +39,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
-def _through(vox: DataFrame) -> DataFrame:
-    return stored(connectivity.percolating(counts.phase_masks(vox, PHASES), _sizes(vox), DIRECTIONS), "through")
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.pack(source.from_lineitem(spark, sf_dir))
+
+
+def _masks(of_planes: DataFrame) -> DataFrame:
+    return connectivity.percolating(of_planes, PHASES, DIRECTIONS)
+
+
+def _through(of_planes: DataFrame) -> DataFrame:
+    return stored(connectivity.mask_voxels(_masks(of_planes)), "through")
 
 
 def vox_scan(spark, sf_dir):
@@ -62,54 +72,55 @@ def volume_fraction(spark, sf_dir):
 
 
 def gaussian_smooth(spark, sf_dir):
-    return _rounded(surface.smooth(surface.indicator(source.from_lineitem(spark, sf_dir), PHASES), SIGMA))
+    return _rounded(surface.smooth(_planes(spark, sf_dir), PHASES, SIGMA))
 
 
 def gradient_magnitude(spark, sf_dir):
-    g = surface.gradient(surface.smooth(surface.indicator(source.from_lineitem(spark, sf_dir), PHASES), SIGMA), SIZE)
+    g = surface.gradient(_planes(spark, sf_dir), PHASES, SIZE, SIGMA)
     return _rounded(g.select("sample", "phase", *AXES, F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2).alias("g")))
 
 
 def surface_area(spark, sf_dir):
-    return _rounded(surface.surface_area(source.from_lineitem(spark, sf_dir), PHASES, SIZE, SIGMA))
+    return _rounded(surface.surface_area(_planes(spark, sf_dir), PHASES, SIZE, SIGMA))
 
 
 def tpb_edges_by_axis(spark, sf_dir):
-    return counts.tpb_edges(source.from_lineitem(spark, sf_dir)).drop("total")
+    return counts.tpb_edges(_planes(spark, sf_dir)).drop("total")
 
 
 def tpb_density(spark, sf_dir):
-    return _rounded(counts.tpb_density(source.from_lineitem(spark, sf_dir), SIZE))
+    return _rounded(counts.tpb_density(_planes(spark, sf_dir), SIZE))
 
 
 def boundary_reachable(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return connectivity.reachable(counts.phase_masks(vox, PHASES), _sizes(vox), 1, far=False)
+    return connectivity.reachable(_planes(spark, sf_dir), PHASES, 1, far=False)
 
 
 def percolation_mask(spark, sf_dir):
-    return _through(_vox(spark, sf_dir))
+    return connectivity.mask_voxels(_masks(_planes(spark, sf_dir)))
 
 
 def percolation_fraction(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return _rounded(connectivity.percolating_fraction(counts.phase_counts(vox, PHASES), _through(vox), DIRECTIONS))
+    vox = _planes(spark, sf_dir)
+    return _rounded(connectivity.percolating_fraction(counts.plane_counts(vox, PHASES), _masks(vox), DIRECTIONS))
+
+
+def _atpb(vox: DataFrame) -> DataFrame:
+    return counts.active_tpb_density(stored(connectivity.connected(vox, (1, 2)), "connected"), DIRECTIONS, SIZE)
 
 
 def atpb_density(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return _rounded(counts.active_tpb_density(vox, _through(vox), DIRECTIONS, SIZE))
+    return _rounded(_atpb(_planes(spark, sf_dir)))
 
 
 def geodesic_distance(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return connectivity.geodesic_distance(_through(vox), _sizes(vox))
+    return connectivity.mask_voxels(connectivity.geodesic_distance(_masks(_planes(spark, sf_dir))), "steps")
 
 
 def geometric_tortuosity(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    distance = connectivity.geodesic_distance(_through(vox), _sizes(vox))
-    return _rounded(connectivity.geometric_tortuosity(counts.phase_counts(vox, PHASES), distance, _sizes(vox), DIRECTIONS))
+    vox = _planes(spark, sf_dir)
+    distance = connectivity.geodesic_distance(_masks(vox))
+    return _rounded(connectivity.geometric_tortuosity(counts.plane_counts(vox, PHASES), distance, DIRECTIONS))
 
 
 def tortuosity_mean_skip_inf(spark, sf_dir):
@@ -133,25 +144,25 @@ def ray_segments(spark, sf_dir):
 
 
 def chord_runs(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return _rounded(chords.chords(chords.segments(_rays(vox), _sizes(vox)), vox))
+    vox = _planes(spark, sf_dir)
+    return _rounded(chords.chords(chords.segments(_rays(vox), planes.sizes(vox)), vox).withColumn("phase", F.col("phase").cast("int")))
 
 
 def mean_chord_length(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    runs = chords.chords(chords.segments(_rays(vox), _sizes(vox)), vox)
-    return _rounded(chords.mean_chord_length(runs, counts.phase_counts(vox, PHASES), MIN_CHORD, SIZE))
+    vox = _planes(spark, sf_dir)
+    runs = chords.chords(chords.segments(_rays(vox), planes.sizes(vox)), vox)
+    return _rounded(chords.mean_chord_length(runs, counts.plane_counts(vox, PHASES), MIN_CHORD, SIZE))
 
 
 def diffusion_system(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return _rounded(diffusion.system(_through(vox), _sizes(vox), FACTOR))
+    vox = _planes(spark, sf_dir)
+    return _rounded(diffusion.system(_through(vox), planes.sizes(vox), FACTOR))
 
 
 def operator_apply(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
+    vox = _planes(spark, sf_dir)
     through = _through(vox)
-    rows = diffusion.system(through, _sizes(vox), FACTOR)
+    rows = diffusion.system(through, planes.sizes(vox), FACTOR)
     return _rounded(diffusion.apply_operator(rows, through, "x0").select("sample", "phase", "dir", *AXES, "applied"))
 
 
@@ -162,21 +173,20 @@ def cell_numbers(spark, sf_dir):
 
 def percolation_mean(spark, sf_dir):
     """Plain mean over the directions, zeros included."""
-    vox = _vox(spark, sf_dir)
-    each = connectivity.percolating_fraction(counts.phase_counts(vox, PHASES), _through(vox), DIRECTIONS)
+    vox = _planes(spark, sf_dir)
+    each = connectivity.percolating_fraction(counts.plane_counts(vox, PHASES), _masks(vox), DIRECTIONS)
     return _rounded(each.groupBy("sample", "phase").agg(F.avg("value").alias("value")))
 
 
 def atpb_mean(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    return _rounded(counts.active_tpb_density(vox, _through(vox), DIRECTIONS, SIZE).groupBy("sample").agg(F.avg("value").alias("value")))
+    return _rounded(_atpb(_planes(spark, sf_dir)).groupBy("sample").agg(F.avg("value").alias("value")))
 
 
 def initial_residual(spark, sf_dir):
     """Squared norms of the right side and of the residual at the start, and the start's outlet sum, of every system."""
-    vox = _vox(spark, sf_dir)
+    vox = _planes(spark, sf_dir)
     through = _through(vox)
-    rows = diffusion.apply_operator(diffusion.system(through, _sizes(vox), FACTOR), through, "x0")
+    rows = diffusion.apply_operator(diffusion.system(through, planes.sizes(vox), FACTOR), through, "x0")
     r = F.col("rhs") - F.col("applied")
     return _rounded(rows.groupBy("sample", "phase", "dir").agg(F.sum(F.col("rhs") * F.col("rhs")).alias("bb"), F.sum(r * r).alias("rr"), F.coalesce(F.sum(F.when(F.col("outlet"), F.col("x0"))), F.lit(0.0)).alias("outlet")))
 
@@ -188,8 +198,8 @@ def feature_columns(spark, sf_dir):
 
 
 def physical_tortuosity(spark, sf_dir):
-    vox = _vox(spark, sf_dir)
-    tau = diffusion.physical_tortuosity(counts.phase_counts(vox, PHASES), _through(vox), _sizes(vox), DIRECTIONS, FACTOR, 1e-12)
+    vox = _planes(spark, sf_dir)
+    tau = diffusion.physical_tortuosity(counts.plane_counts(vox, PHASES), _masks(vox), DIRECTIONS, FACTOR, 1e-12)
     return _rounded(tau.select("sample", "phase", "dir", "value"))
 
 
@@ -201,16 +211,24 @@ def feature_row(spark, sf_dir):
     return _rounded(features.extract_features(_vox(spark, sf_dir), CONFIG))
 
 
+SERIES = FeatureConfig(**{**CONFIG.__dict__, "recalculate_static": False, "verify_static": False})
+
+
 def static_phase_reuse(spark, sf_dir):
-    config = FeatureConfig(**{**CONFIG.__dict__, "recalculate_static": False, "verify_static": False})
-    return _rounded(features.extract_series(_vox(spark, sf_dir), config))
+    return _rounded(features.extract_series(_vox(spark, sf_dir), SERIES))
+
+
+def static_phase_columns(spark, sf_dir):
+    """static_phase_reuse without the columns that need random rays or an iterative solve."""
+    kept = [c for c in features.columns(SERIES) if not c.startswith(("cld", "pt"))]
+    return _rounded(features.extract_series(_vox(spark, sf_dir), SERIES).select("sample", *kept))
 
 
 ALL = (
     vox_scan, vox_dims, positive_phases, phase_mask_counts, volume_fraction, gaussian_smooth, gradient_magnitude, surface_area, tpb_edges_by_axis,
     tpb_density, boundary_reachable, percolation_mask, percolation_fraction, atpb_density, geodesic_distance, geometric_tortuosity,
     tortuosity_mean_skip_inf, ray_segments, chord_runs, mean_chord_length, diffusion_system, operator_apply, physical_tortuosity, cell_numbers, percolation_mean, atpb_mean, initial_residual, feature_columns,
-    static_phase_verify, feature_row, static_phase_reuse,
+    static_phase_verify, feature_row, static_phase_reuse, static_phase_columns,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
@@ -225,8 +243,7 @@ vox as (select g.sample, g.x, g.y, g.z, cast(case when v is null then 0 when v <
 phases as (select cast(unnest([1, 2, 3]) as int) as phase), dirs as (select cast(unnest([1, 2, 3]) as int) as dir),
 samples as (select distinct sample from vox),
 moves as (select unnest([1, -1, 0, 0, 0, 0]) as mx, unnest([0, 0, 1, -1, 0, 0]) as my, unnest([0, 0, 0, 0, 1, -1]) as mz)"""
-_WEIGHTS = [round(w, 17) for w in surface.kernel(SIGMA)]
-_HALF = len(_WEIGHTS) // 2
+_HALF = 2 * math.ceil(SIGMA)
 
 
 def _pass(before: str, after: str, axis: str) -> str:
@@ -235,7 +252,7 @@ def _pass(before: str, after: str, axis: str) -> str:
   where {rest} and b.{axis} = greatest(1, least({N}, a.{axis} + w.k)) group by all)"""
 
 
-_SMOOTH = f"""weights as (select unnest({_WEIGHTS}) as w, unnest(range(-{_HALF}, {_HALF + 1})) as k),
+_SMOOTH = f"""weights as (select k, exp(-k * k / (2 * {SIGMA}::double * {SIGMA})) / sum(exp(-k * k / (2 * {SIGMA}::double * {SIGMA}))) over () as w from (select unnest(range(-{_HALF}, {_HALF + 1})) as k)),
 s0 as (select sample, p.phase, x, y, z, cast(vox.phase = p.phase as double) as v from vox, phases p),
 {_pass("s0", "s1", "x")}, {_pass("s1", "s2", "y")}, {_pass("s2", "s3", "z")}"""
 
@@ -343,6 +360,8 @@ long as (
   union all select sample, 'perc' || phase, avg(value) from (select s.sample, p.phase, {_PERC} as value from samples s, phases p, dirs r) group by sample, phase
   union all select sample, 'tpb', count(*) filter (hit) / ({N**3} * {SIZE**2}) from ({_edges("vox", "sample")}) group by sample
   union all select sample, 'atpb', count(*) filter (hit) / ({N**3} * {SIZE**2} * 3) from ({_edges("blocked", "sample, dir")}) group by sample)"""
+# a series: phase 2 of the first sample serves all, its features and its percolating voxels
+_SERIES = _FEATURES.replace("t.sample = v.sample and t.phase = v.phase", "t.sample = case when v.phase = 2 then (select min(sample) from vox) else v.sample end and t.phase = v.phase")
 _KEPT = [c for c in features.columns(CONFIG) if not c.startswith(("cld", "pt"))]
 #: Steps of plain relaxation that bring the slowest of these systems to ten digits.
 _STEPS = 20_000
@@ -370,5 +389,13 @@ ORACLES |= {
         f"select sample, phase, dir, round(sum(cast(rhs * rhs as double)), {DIGITS}) as bb, round(sum((rhs - ax) * (rhs - ax)), {DIGITS}) as rr, round(cast(coalesce(sum(x0) filter (outlet), 0) as double), {DIGITS}) as outlet from applied group by sample, phase, dir",
         _APPLIED,
     ),
+    "static_phase_columns": _sql(
+        "select sample, "
+        + ", ".join(f"round(max(value) filter (feature = '{c}'), {DIGITS}) as {c}" for c in _KEPT)
+        + """ from (
+  select sample, feature, value from long where feature not in ('vf2', 'sa2', 'gt2', 'perc2')
+  union all select s.sample, feature, value from samples s, long f where feature in ('vf2', 'sa2', 'gt2', 'perc2') and f.sample = (select min(sample) from vox)) group by sample""",
+        _SERIES,
+    ),
     "feature_columns": _sql("select sample, " + ", ".join(f"round(max(value) filter (feature = '{c}'), {DIGITS}) as {c}" for c in _KEPT) + " from long group by sample", _FEATURES),
 }
