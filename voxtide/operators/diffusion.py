@@ -132,8 +132,10 @@ def solve(mask: np.ndarray, axis: int, boundary_factor: float, rtol: float, max_
     inside[...] = mask * (1 - (at - 0.5) / (planes if axis == 0 else mask.shape[axis])).reshape(along)
     p, q = np.zeros(size), np.zeros(size)
     spare = np.empty(max(layer, min(size, PIECE)))
-    ends = [*range(low.stop, high.start, len(spare)), high.start] if len(mask) > 1 else []
-    pieces = [low, *(slice(i, j) for i, j in zip(ends, ends[1:], strict=False)), *([high] if len(mask) > 1 else [])]
+    borders = [low, high] if line.length > 1 and len(mask) > 1 else []
+    inner = slice(low.stop, high.start) if borders else slice(low.start, high.stop)
+    ends = [*range(inner.start, inner.stop, len(spare)), inner.stop]
+    pieces = [*borders[:1], *(slice(i, j) for i, j in zip(ends, ends[1:], strict=False)), *borders[1:]]
 
     def apply(s: slice) -> float:
         """q = A p on a piece's cells; p q."""

@@ -49,20 +49,30 @@ def pack(voxels: DataFrame) -> DataFrame:
     Raises ValueError if a volume has holes, repeated voxels or coordinates below 1.
     """
 
-    def plane(rows: pa.Table) -> pa.Table:
-        y, z, label = (rows[c].to_numpy().astype(np.int64) for c in ("y", "z", "phase"))
-        x, ny, nz = rows["x"][0].as_py(), int(y.max()), int(z.max())
-        whole = len(y) == ny * nz and x >= 1 and y.min() >= 1 and z.min() >= 1
-        out = np.zeros(ny * nz if whole else 0, np.int64)
-        if whole:
-            seen = np.zeros(ny * nz, bool)
-            seen[(y - 1) * nz + z - 1] = True
-            whole = bool(seen.all())
-            out[(y - 1) * nz + z - 1] = label
-        return pa.table({"sample": rows["sample"].slice(0, 1), "x": pa.array([x], pa.int32()), "ny": pa.array([ny], pa.int32()), "nz": pa.array([nz], pa.int32()), "labels": pa.array([packed(out) if whole else None], pa.binary())})
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cells")
+            ends = np.r_[0, np.cumsum(np.diff(cells.offsets.to_numpy()))]
+            ys, zs, labels = (cells.flatten().field(c).to_numpy().astype(np.int64) for c in ("y", "z", "phase"))
+            out, sizes_ = [], []
+            for k, x in enumerate(batch.column("x").to_pylist()):
+                own = slice(ends[k], ends[k + 1])
+                y, z = ys[own], zs[own]
+                ny, nz = int(y.max()), int(z.max())
+                sizes_.append((ny, nz))
+                at = (y - 1) * nz + z - 1
+                # as many as there are places, none outside and none twice: dense
+                dense = len(y) == ny * nz and x >= 1 and y.min() >= 1 and z.min() >= 1 and bool((np.bincount(at, minlength=ny * nz) == 1).all())
+                if dense:
+                    plane = np.empty(ny * nz, np.int64)
+                    plane[at] = labels[own]
+                out.append(packed(plane) if dense else None)
+            ny, nz = zip(*sizes_, strict=True) if sizes_ else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), batch.column("x"), pa.array(ny, pa.int32()), pa.array(nz, pa.int32()), pa.array(out, pa.binary())], names=["sample", "x", "ny", "nz", "labels"])
 
     rows = voxels.select(F.col("sample").cast("string").alias("sample"), *(F.col(a).cast("int").alias(a) for a in "xyz"), F.col("phase").cast("long").alias("phase"))
-    return whole_volumes(stored(rows.groupBy("sample", "x").applyInArrow(plane, "sample string, x int, ny int, nz int, labels binary"), "planes"))
+    gathered = rows.groupBy("sample", "x").agg(F.collect_list(F.struct("y", "z", "phase")).alias("cells"))
+    return whole_volumes(stored(gathered.mapInArrow(assembled, "sample string, x int, ny int, nz int, labels binary"), "planes"))
 
 
 def whole_volumes(planes: DataFrame) -> DataFrame:
