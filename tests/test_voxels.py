@@ -335,6 +335,58 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_mat_source(spark, tmp_path, monkeypatch):
+    """Blocks and partitions of layers give the array, compressed or not, of every type; long labels stay long."""
+    monkeypatch.setattr(mat, "BLOCK", 200)
+    monkeypatch.setattr(mat, "PARTITION", 300)
+    rng = np.random.default_rng(2)
+    arrays = {f"{kind}{int(zipped)}": rng.integers(-3, 100, (5, 6, 7)).astype(kind) for kind in ("int8", "int16", "int32", "int64", "float64") for zipped in (True, False)}
+    arrays["int641"][0, 0, 0] = 2**40
+    for name, labels in arrays.items():
+        data = mat.write_array(labels, compress=name.endswith("1"))
+        (tmp_path / f"{name}.mat").write_bytes(data)
+        assert (mat.read_array(data) == labels).all()
+    assert len(mat.MatReader({"path": str(tmp_path / "int320.mat")}).partitions()) > 1
+    mat.register(spark)
+    rows = spark.read.format("mat").load(str(tmp_path)).collect()
+    assert len(rows) == len(arrays) * 210 and all(arrays[r["sample"]][r.x - 1, r.y - 1, r.z - 1] == r.phase for r in rows)
+    got = mat.read_planes(spark, [f"file:{tmp_path}/{name}.mat" for name in arrays]).collect()
+    assert len(got) == len(arrays) * 5
+    for r in got:
+        assert (planes.unpacked(r.labels, r.ny * r.nz).reshape(r.ny, r.nz) == arrays[r["sample"]][r.x - 1]).all()
+    (tmp_path / "short.mat").write_bytes(mat.write_array(arrays["int80"], compress=False)[:-50])
+    with pytest.raises(Exception, match="short.mat: C ends early"):
+        spark.read.format("mat").load(str(tmp_path / "short.mat")).collect()
+
+
+def test_files_arrive_with_a_restart_between(spark, tmp_path):
+    """The first file makes the cache; a query started again goes on after it and uses the cache."""
+    first, second = series()
+    third = second.copy()
+    third[2:4] = 3
+    static = FeatureConfig(**{**CONFIG.__dict__, "recalculate_static": False})
+    folder, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    folder.mkdir()
+    rows = {}
+    for k, (name, labels) in enumerate((("t1", first), ("t2", second), ("t3", third))):
+        (folder / f"{name}.mat").write_bytes(mat.write_array(labels))
+        arrivals.watch_mat(spark, str(folder), str(out), str(state), static).awaitTermination()
+        got = spark.read.parquet(str(out)).collect()
+        assert sorted(r["sample"] for r in got) == [f"t{j + 1}" for j in range(k + 1)]
+        rows |= {r["sample"]: list(r)[1:-1] for r in got}
+        cached = {f: (state / "static-cache" / f).stat().st_mtime_ns for f in os.listdir(state / "static-cache")}
+        assert k == 0 or cached == before  # made once
+        before = cached
+    whole = {r["sample"]: list(r)[1:] for r in features.extract_series(frames(spark, t1=first, t2=second, t3=third), static).collect()}
+    for name, values_ in whole.items():
+        assert rows[name] == pytest.approx(values_, nan_ok=True)
+    bad = first.copy()
+    bad[0, 0, 0] = 2
+    (folder / "t4.mat").write_bytes(mat.write_array(bad))
+    with pytest.raises(Exception, match="phase 2 of t4 differs"):
+        arrivals.watch_mat(spark, str(folder), str(out), str(state), static).awaitTermination()
+
+
 def test_golden_values(spark):
     year = (F.year("l_shipdate") - 1995).cast("string")
     vox = source.from_lineitem(spark, "/root/testdata/sf0.01", year).cache()

@@ -7,8 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from voxtide.config import FeatureConfig
-from voxtide.functions.tables import stored
-from voxtide.jobs.features import extract_series
+from voxtide.jobs.features import series_of_planes
 from voxtide.sources import csv_sink, mat
 
 
@@ -20,13 +19,13 @@ def trial_name(path: str, max_files: int | None) -> str:
 
 def run_batch(spark: SparkSession, folder: str, out: str, config: FeatureConfig = FeatureConfig(), max_files: int | None = None, key: str = "C") -> str:
     """All samples in one job; any failure leaves no CSV."""
-    voxels = stored(mat.read_volumes(spark, mat.list_files(spark, folder, max_files), key), "volumes")  # every file is parsed once
-    return csv_sink.write_features(ordered(extract_series(voxels, config)), trial_name(out, max_files))
+    planes = mat.read_planes(spark, mat.list_files(spark, folder, max_files), key)  # every file is parsed once
+    return csv_sink.write_features(ordered(series_of_planes(planes, config)), trial_name(out, max_files))
 
 
 def run_sample(spark: SparkSession, path: str, folder: str, config: FeatureConfig = FeatureConfig(), key: str = "C") -> str:
     """One file to <sample>_features.csv in folder."""
-    features = extract_series(stored(mat.read_volumes(spark, [path], key), "volumes"), config)
+    features = series_of_planes(mat.read_planes(spark, [path], key), config)
     return csv_sink.write_features(ordered(features), os.path.join(folder, f"{mat.sample_name(path)}_features.csv"))
 
 
