@@ -338,7 +338,7 @@ def test_line_dedup(spark, edge):
     data += [(200, None, "s1"), (201, "", "s1"), (202, "footer of all\nfooter of all\n\n", None)]
     got = {r.doc_id: r for r in linedup.remove_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert got[0].text == "own line 0\nfooter of all\nlast 0" and got[5].text == "own line 5\nlast 5" and got[5].n_removed == 1
-    assert got[103].text == "copied head\ncopied body\ncopied tail"
+    assert got[100].text == "copied head\ncopied body\ncopied tail" and got[103].text == "" and got[103].n_removed == 3  # a copied page stays once
     assert got[200].text is None and got[200].n_lines == 0 and got[201].text == "" and got[202].text == "\n"
     out = linedup.remove_boilerplate(edge)
     assert out.columns == [*edge.columns, "n_lines", "n_removed"]
@@ -356,7 +356,16 @@ def test_line_dedup_of_blocks_beside_copies(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert all(got[i].text == f"head {i}\ntail {i}" and got[i].n_removed == 3 and got[i].row_key == i for i in range(1, 41))
     assert got[None].text == "head of none\nfirst\nmiddle\nlast"  # a null id is the least: the first occurrence
-    assert got[150].text == "\n".join(f"copied {k}" for k in range(12)) and got[150].gone == "x"
+    assert got[100].text == "\n".join(f"copied {k}" for k in range(12)) and got[150].text == "" and got[150].gone == "x"
+
+
+@pytest.mark.parametrize("own", [0, 1, 3])
+def test_footers_go_whatever_their_pages_hold(spark, own):
+    """Footers of 1 to 8 lines on 30 pages of 30 sites, with as many lines of their own as are given, go from all pages but the first."""
+    data = [(100 * f + i, "\n".join([f"own {f} {i} {k}" for k in range(own)] + [f"footer {f} {k}" for k in range(f)]), f"s{i}") for f in range(1, 9) for i in range(30)]
+    out = linedup.remove_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert sum(r.n_removed for r in out) == 29 * sum(range(1, 9))
+    assert all(r.n_removed == (r.doc_id // 100 if r.doc_id % 100 else 0) and r.n_lines - r.n_removed == own or not r.doc_id % 100 for r in out)
 
 
 # 10

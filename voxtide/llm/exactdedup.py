@@ -51,12 +51,17 @@ def _bitmap(hashed: Column, bitmaps: int) -> Column:
     return F.pmod(hashed, F.lit(bitmaps))
 
 
+def filter_of(hashes: DataFrame, hash_col: str, max_bitmaps: int = MAX_BITMAPS) -> tuple[DataFrame, int]:
+    """(number, bits) of the bitmaps of a stored table of distinct hashes, and into how many the hashes are dealt."""
+    bitmaps = max(1, min(max_bitmaps, -(-hashes.count() * BITS_PER_HASH // BITMAP)))
+    each = hashes.select(_bitmap(F.col(hash_col), bitmaps).alias("number"), F.explode(F.array(*_places(F.col(hash_col)))).alias("place"))
+    return each.groupBy("number").agg(F.bitmap_construct_agg("place").alias("bits")), bitmaps
+
+
 def repeated_filter(hashes: DataFrame, hash_col: str, max_bitmaps: int = MAX_BITMAPS) -> tuple[DataFrame, int]:
-    """(number, bits) of the bitmaps of hashes that occur twice or more, and into how many the hashes are dealt."""
+    """filter_of the hashes that occur twice or more."""
     twice = stored(hashes.groupBy(F.col(hash_col).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    bitmaps = max(1, min(max_bitmaps, -(-twice.count() * BITS_PER_HASH // BITMAP)))
-    each = twice.select(_bitmap(F.col("h"), bitmaps).alias("number"), F.explode(F.array(*_places(F.col("h")))).alias("place"))
-    return each.groupBy("number").agg(F.bitmap_construct_agg("place").alias("bits")), bitmaps
+    return filter_of(twice, "h", max_bitmaps)
 
 
 def _has(bits: Column, place: Column) -> Column:
@@ -72,13 +77,17 @@ def _and(columns: list[Column]) -> Column:
     return found
 
 
-def with_suspicion(rows: DataFrame, hash_col: str, suspect: str, max_bitmaps: int = MAX_BITMAPS) -> DataFrame:
-    """rows with the boolean suspect: false only where the hash surely occurs once."""
-    bits, bitmaps = repeated_filter(rows.select(hash_col), hash_col, max_bitmaps)
-    number, bit_col = unused([*rows.columns, suspect], "bitmap_number", "bitmap_bits")
+def tested(rows: DataFrame, hash_col: str, bits: DataFrame, bitmaps: int, name: str) -> DataFrame:
+    """rows with the boolean name: false only where the hash is surely not in the filter."""
+    number, bit_col = unused([*rows.columns, name], "bitmap_number", "bitmap_bits")
     found = rows.join(F.broadcast(bits.select(F.col("number").alias(number), F.col("bits").alias(bit_col))), _bitmap(F.col(hash_col), bitmaps) == F.col(number), "left")
     hit = F.coalesce(_and([_has(F.col(bit_col), p) for p in _places(F.col(hash_col))]), F.lit(False))
-    return found.withColumn(suspect, hit).drop(number, bit_col)
+    return found.withColumn(name, hit).drop(number, bit_col)
+
+
+def with_suspicion(rows: DataFrame, hash_col: str, suspect: str, max_bitmaps: int = MAX_BITMAPS) -> DataFrame:
+    """rows with the boolean suspect: false only where the hash surely occurs once."""
+    return tested(rows, hash_col, *repeated_filter(rows.select(hash_col), hash_col, max_bitmaps), suspect)
 
 
 def mark(digests: DataFrame, id_col: str = "doc_id", digest_col: str = "text_sha256", max_bitmaps: int = MAX_BITMAPS) -> DataFrame:
@@ -86,10 +95,10 @@ def mark(digests: DataFrame, id_col: str = "doc_id", digest_col: str = "text_sha
     columns = [c for c in digests.columns if c not in ("keep_id", "group_size", "kept")]
     hashed, suspect, row, key, keep_row, heavy = unused([*columns, *ADDED], "hashed", "suspect", "row", "group_key", "keep_row", "heavy")
     all_rows = stored(digests.select(*columns, F.xxhash64(digest_col).alias(hashed)), "digests")
-    tested = with_suspicion(all_rows, hashed, suspect, max_bitmaps)
-    single = tested.where(~F.col(suspect)).select(*columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    flagged = with_suspicion(all_rows, hashed, suspect, max_bitmaps)
+    single = flagged.where(~F.col(suspect)).select(*columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # numbered as written, so that both uses below see the same numbers
-    rows = stored(tested.where(F.col(suspect)).select(*columns, F.monotonically_increasing_id().alias(row)), "suspects")
+    rows = stored(flagged.where(F.col(suspect)).select(*columns, F.monotonically_increasing_id().alias(row)), "suspects")
     last = F.max(F.struct(F.col(id_col).alias("keep_id"), (-F.col(row)).alias("at")))
     groups = stored(rows.groupBy(F.col(digest_col).alias(key)).agg(F.count("*").alias("group_size"), last.alias("last")).select(key, "group_size", "last.keep_id", (-F.col("last.at")).alias(keep_row)), "groups")
     total = groups.agg(F.sum("group_size")).first()[0] or 0

@@ -1,20 +1,19 @@
 """Removal of lines that spread over many sites.
 
-A line is *widespread* when it stands on MIN_SITES distinct sites or more.  A
-document is a *page of its own* when at least OWN of its lines that are not
-blank are not widespread; a copy or near copy of a page that many sites carry
-is none.  A widespread line is boilerplate when it also stands on MIN_SITES
-sites counted over pages of their own: so every line of a footer goes, however
-many lines it has and however many copies of one page hold it too, while the
-lines of a page that was copied whole are left to the near-duplicate operator.
-The first occurrence (least id, then text hash, then place) of a boilerplate
-line stays, so that no passage is lost.
-
-Distinct sites are HyperLogLog sketches per line hash, merged by aggregation;
-lines whose estimate comes near the threshold are counted exactly.  Lines that
-make up more than a HEAVY-th of all occurrences, at most HEAVY by their
-definition, meet their occurrences by broadcast, all others by a shuffle, so
-no task holds a common line's occurrences.
+A line is boilerplate when it stands on MIN_SITES distinct sites or more,
+whatever else its pages hold: every line of a footer goes, however many lines
+it has.  The first occurrence (least id, then text hash, then place) of a
+boilerplate line stays, so that no passage is lost: a page that was copied
+whole to many sites stays whole once.
+
+Texts are read three times: to count lines, to set apart the occurrences of
+those lines that are frequent enough to spread so far (through a Bloom filter
+of bounded size, so lines that are not are never shuffled), and to write the
+result.  Distinct sites are HyperLogLog sketches per line hash, merged by
+aggregation; lines whose estimate comes near the threshold are counted exactly.
+Lines that make up more than a HEAVY-th of these occurrences, at most HEAVY by
+their definition, meet their occurrences by broadcast, all others by a shuffle,
+so no task holds a common line's occurrences.
 
 All of it is DataFrame functions.  Rows: a null text stays null and has no
 lines, blank lines are never boilerplate, a null site is not counted, rows
@@ -29,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.llm import exactdedup
 from voxtide.llm.common import stored, unused
 
-#: Distinct sites from which a line is widespread; share of a document's lines that makes it a page of its own.
-MIN_SITES, OWN = 10, 0.25
+#: Distinct sites from which a line is boilerplate.
+MIN_SITES = 10
 #: log2 of the sketch's registers; estimates within this share of the threshold are counted exactly (five standard errors).
 LOG_REGISTERS, NEAR = 12, 0.09
-#: A line with more than one in so many of all occurrences is heavy.
+#: A line with more than one in so many of the frequent lines' occurrences is heavy.
 HEAVY = 1000
 LINE, DOC = ["h1", "h2"], ["id", "row_key"]
 
@@ -46,12 +46,10 @@ def _row_key(text_col: str) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """Every line that is not blank: id, row_key, site, lines of its document, place, line hashes h1 and h2."""
+    """Every line that is not blank: id, row_key, site, place, line hashes h1 and h2."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _row_key(text_col).alias("row_key"), F.col(site_col).alias("site"), F.split(text_col, "\n", -1).alias("split"))
-    # counted before the lines are set apart, or each line would carry its whole text to be counted again
-    counted = texts.withColumn("lines", F.size(F.filter("split", lambda x: F.trim(x) != "")))
-    each = counted.select("id", "row_key", "site", "lines", F.posexplode("split").alias("place", "line")).where(F.trim("line") != "")
-    return each.select("id", "row_key", "site", "lines", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    each = texts.select("id", "row_key", "site", F.posexplode("split").alias("place", "line")).where(F.trim("line") != "")
+    return each.select("id", "row_key", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def of_lines(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -71,27 +69,23 @@ def spread(rows: DataFrame, chosen: DataFrame, min_sites: int) -> DataFrame:
     return sketched.where(~close).select(*LINE, "heavy").unionByName(sketched.where(close).join(exact, LINE, "left_semi").select(*LINE, "heavy"))
 
 
-def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, own: float = OWN) -> DataFrame:
+def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """id, row_key and gone (sorted places of the lines that go) of the documents that lose any."""
     rows = lines(docs, id_col, text_col, site_col)
     often = stored(rows.groupBy(*LINE).agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "place")).alias("first")).where(F.col("n") >= min_sites), "often")
-    total = rows.agg(F.count("*")).first()[0]
-    counted = often.select(*LINE, (F.col("n") > total / HEAVY).alias("heavy"))
-    wide = stored(spread(of_lines(rows, counted), counted, min_sites), "widespread")
-    # a document's widespread lines, and whether it is a page of its own
-    found = of_lines(rows, wide).groupBy(*DOC, "site", "lines").agg(F.collect_set(F.struct("place", *LINE)).alias("at"))
-    found = stored(found.withColumn("own", F.size("at") <= (1 - own) * F.col("lines")), "found")
-    each = found.select(*DOC, "site", "own", F.explode("at").alias("x")).select(*DOC, "site", "own", "x.*")
-    bad = spread(each.where("own"), wide, min_sites).join(often.select(*LINE, "first"), LINE)
-    gone = of_lines(each, bad).where(F.struct(*DOC, "place") != F.col("first"))
+    hits = stored(exactdedup.tested(rows, "h1", *exactdedup.filter_of(often, "h1"), "frequent").where("frequent").drop("frequent"), "frequent-lines")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    bad = spread(hits, often.select(*LINE, (F.col("n") > total / HEAVY).alias("heavy")), min_sites)
+    bad = stored(bad.join(often.select(*LINE, "first"), LINE), "boilerplate")
+    gone = of_lines(hits, bad).where(F.struct(*DOC, "place") != F.col("first"))
     return gone.groupBy(*DOC).agg(F.sort_array(F.collect_set("place")).alias("gone"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, own: float = OWN) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines and n_removed; one shuffle moves the texts."""
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     key, gone_id, gone_key, gone, split = unused(docs.columns, "row_key", "gone_id", "gone_key", "gone", "split_lines")
-    marked = boilerplate(docs, id_col, text_col, site_col, min_sites, own).select(F.col("id").alias(gone_id), F.col("row_key").alias(gone_key), F.col("gone").alias(gone))
+    marked = boilerplate(docs, id_col, text_col, site_col, min_sites).select(F.col("id").alias(gone_id), F.col("row_key").alias(gone_key), F.col("gone").alias(gone))
     keyed = docs.withColumn(key, _row_key(text_col))
     joined = keyed.join(marked, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left").withColumn(split, F.split(text_col, "\n", -1))
     size = F.size(split)

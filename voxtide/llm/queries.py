@@ -144,16 +144,11 @@ from a{rounds} a join c{rounds} c on a.cluster = c.cluster"""
 
 
 ORACLES: dict[str, str] = {
-    "op7_line_dedup": f"""
-with split as (
+    "op7_line_dedup": """
+with l as (
   select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents),
-l as (select *, trim(line) <> '' as filled, count(*) filter (trim(line) <> '') over (partition by doc_id) as lines from split),
-widespread as (select line from l where filled group by line having count(distinct source) >= {linedup.MIN_SITES}),
-found as (select l.* from l join widespread using (line)),
-own_pages as (select doc_id from found group by doc_id having count(*) <= (1 - {linedup.OWN}) * max(lines)),
 boilerplate as (
-  select line, min((doc_id, place)) as first from found group by line
-  having count(distinct source) filter (doc_id in (select doc_id from own_pages)) >= {linedup.MIN_SITES}),
+  select line, min((doc_id, place)) as first from l where trim(line) <> '' group by line having count(distinct source) >= 10),
 marked as (select l.*, b.line is not null and (l.doc_id, l.place) <> b.first as gone from l left join boilerplate b on l.line = b.line)
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
   coalesce(string_agg(line, chr(10) order by place) filter (not gone), '') as text
