@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.llm import exactdedup
 from voxtide.llm.common import WORD_HASH, alone, arrow_schema, discard, mix, record_batch, shingle_hashes, stored
 
 WORDS, SIMILAR = 5, 0.8
@@ -47,8 +48,6 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 32, 4
 #: Shingles that are turned into signatures at a time.
 BATCH_SHINGLES = 60_000
-#: Names of texts with partners, 16 bytes each, that are sent to the texts at most; more meet them by a shuffle.
-SENT_NODES = 1_000_000
 #: Bytes of bags of one block of a group.
 BLOCK_BYTES = 4_000_000
 
@@ -338,10 +337,12 @@ def linked(texts: DataFrame, keys: DataFrame, similar: float = SIMILAR) -> DataF
     found = flat.join(shared, ["band", "key"])
     weights = stored(found.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     members = stored(found.select("band", "key", "node"), "members")
-    wanted = weights.select("node")
-    if weights.count() <= SENT_NODES:
-        wanted = F.broadcast(wanted)
-    bags = stored(packed_bags(texts.join(wanted, "node")).dropDuplicates(["node"]), "bags")
+    # texts with partners are told by a Bloom filter of bounded size, the same plan at every size: one that passes
+    # by chance has a bag that nothing asks for
+    named = stored(weights.select(F.xxhash64("node").alias("h")).distinct(), "named")
+    likely = exactdedup.tested(texts.withColumn("h", F.xxhash64("node")), "h", *exactdedup.filter_of(named, "h"), "likely").where("likely")
+    bags = stored(packed_bags(likely).dropDuplicates(["node"]), "bags")
+    discard(named)
     star = stored(verified(to_centres(members, weights), bags), "verified")
     discard(members, weights)
     links = star.where(F.col("s") >= similar).select(F.col("node").alias("a"), F.col("centre").alias("b"))
