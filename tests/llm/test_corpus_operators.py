@@ -120,6 +120,27 @@ def test_stragglers_of_a_hot_group(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == want and 5 < len(set(want.values())) < len(docs) - 20
 
 
+def test_recall_by_similarity(spark):
+    """Of planted copies with 1 to 14 words changed, those at 0.8 or more are classed with their text, the others are not."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows, alike = [], {}
+    for k in range(80):
+        base = list(rng.choice(words, 150))
+        rows.append((1000 * k, " ".join(base)))
+        for n in range(1, 15):
+            copy = list(base)
+            at = int(rng.integers(0, 150 - n))
+            copy[at : at + n] = [f"x{k}_{n}_{j}" for j in range(n)]
+            rows.append((1000 * k + n, " ".join(copy)))
+            alike[1000 * k + n] = jaccard(bag(rows[-1][1]), bag(" ".join(base)))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, s in alike.items() if s >= 0.8]
+    assert len(near) > 300 and len({round(alike[i], 2) for i in near}) >= 5
+    assert np.mean([got[i] == got[i // 1000 * 1000] for i in near]) >= 0.99
+    assert got == brute_classes(rows)
+
+
 def test_op2(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
     got = {r.doc_id: r.class_id for r in queries.op2_near_dedup(spark, SMALL).collect()}
@@ -173,6 +194,16 @@ def test_op5(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    found = []
+    for n in (2, 4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(n)
+        found.append(sorted(map(tuple, pitman_yor.score(docs, pitman_yor.train(docs.where("doc_id % 3 > 0"))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] == found[1] == found[2]
+
+
 def test_pitman_yor_edge_rows(spark, edge):
     model = pitman_yor.train(edge.where("doc_id <> 9"))
     got = pitman_yor.score(edge, model).collect()
@@ -286,20 +317,14 @@ def key_of(own, text):
 
 def brute_lines(docs):
     """The documents (id, text, source and others) without boilerplate lines."""
-    sites, first, wide_in = {}, {}, {}
+    sites, first = {}, {}
     split = lambda text: [] if text is None else text.split("\n")
     for own, text, source, *_ in docs:
         for at, line in enumerate(split(text)):
             if line.strip(" "):
                 sites.setdefault(line, set()).add(source)
                 first[line] = min(first.get(line, (key_of(own, text), at)), (key_of(own, text), at))
-    wide = {x for x in sites if len(sites[x] - {None}) >= linedup.MIN_SITES}
-    for _, text, source, *_ in docs:
-        filled = [x for x in split(text) if x.strip(" ")]
-        if sum(x in wide for x in filled) <= (1 - linedup.OWN) * len(filled):
-            for line in set(filled) & wide:
-                wide_in.setdefault(line, set()).add(source)
-    bad = {x for x in wide_in if len(wide_in[x] - {None}) >= linedup.MIN_SITES}
+    bad = {x for x in sites if len(sites[x] - {None}) >= linedup.MIN_SITES}
     keep = lambda own, text: text and "\n".join(x for at, x in enumerate(text.split("\n")) if x not in bad or first[x] == (key_of(own, text), at))
     return [(own, keep(own, text), *more) for own, text, *more in docs]
 
