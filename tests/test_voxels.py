@@ -287,11 +287,9 @@ def test_static_cache_serves_later_samples(spark):
 
 def test_dense_check_sees_every_fault(spark):
     good = frames(spark, a=np.ones((2, 2, 2), np.int8))
-    source.check_dense(good)
+    planes.check_axes(planes.pack(good))
     swapped = good.where("not (x = 1 and y = 1 and z = 1)").unionAll(good.where("x = 2 and y = 2 and z = 2"))
     for bad in (swapped, good.withColumn("x", F.col("x") - 1), good.where("x = 1"), good.unionAll(good)):
-        with pytest.raises(ValueError, match="not dense"):
-            source.check_dense(bad)
         with pytest.raises(ValueError, match="not dense"):
             planes.check_axes(planes.pack(bad))
 
@@ -307,7 +305,9 @@ def test_batch(spark, tmp_path):
     first, second = series()
     for name, labels in (("t2.mat", first), ("t10.MAT", second.astype(np.float64)), ("note.txt", None)):
         pathlib.Path(tmp_path, name).write_bytes(b"x" if labels is None else mat.write_array(labels))
-    out = batch.run_batch(spark, str(tmp_path), str(tmp_path / "out.csv"), CONFIG)
+    out = batch.run_batch(spark, str(tmp_path), str(tmp_path / "out.csv"), CONFIG, solves=str(tmp_path / "solves.csv"))
+    solves = [x.split(",") for x in pathlib.Path(tmp_path, "solves.csv").read_text().splitlines()]
+    assert solves[0] == ["sample", "phase", "dir", "value", "iterations", "residual"] and [x[:3] for x in solves[1:]] == [[s, str(p), "1"] for s in ("t10", "t2") for p in (1, 2, 3)]
     lines = pathlib.Path(out).read_text().splitlines()
     assert lines[0] == ",".join(["sample", *features.columns(CONFIG)]) and [x.split(",")[0] for x in lines[1:]] == ["t10", "t2"]
     one = batch.run_batch(spark, str(tmp_path), str(tmp_path / "out.csv"), CONFIG, max_files=1)

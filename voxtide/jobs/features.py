@@ -6,6 +6,7 @@ Volumes are packed into planes once; every feature works on those.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +56,15 @@ def _with_cached_faces(connected: DataFrame, cache: DataFrame) -> DataFrame:
     return connected.join(known, "x").mapInArrow(run, connectivity.CONNECTED)
 
 
-def tortuosity_solves(by_phase: DataFrame, masks: DataFrame, config: FeatureConfig) -> DataFrame:
-    """sample, phase, dir, value, iterations and residual of every solve."""
-    return diffusion.physical_tortuosity(by_phase, masks, config.directions, config.boundary_factor, config.rtol, config.max_iterations, config.diffusivity, config.voxel_size)
+class Extraction(NamedTuple):
+    """Features as rows sample, feature, value, and the solves behind the tortuosities: sample, phase, dir, value, iterations, residual."""
 
+    features: DataFrame
+    solves: DataFrame
 
-def long_features(planes: DataFrame, config: FeatureConfig, phases=None, cache: DataFrame | None = None, connected: DataFrame | None = None) -> DataFrame:
-    """sample, feature, value of the phases asked for (all configured ones unless given), and of the boundaries.
+
+def long_features(planes: DataFrame, config: FeatureConfig, phases=None, cache: DataFrame | None = None, connected: DataFrame | None = None) -> Extraction:
+    """The features of the phases asked for (all configured ones unless given), and of the boundaries.
 
     cache: a static cache, whose phase's parts serve the boundaries;
     connected: the planes with these phases' parts, if they are at hand.
@@ -75,10 +78,10 @@ def long_features(planes: DataFrame, config: FeatureConfig, phases=None, cache:
     rays = chords.random_rays(planes.sparkSession, sizes, config.rays, config.seed)
     runs = chords.chords(chords.segments(rays, sizes), planes)
     gt = connectivity.geometric_tortuosity(wanted, connectivity.geodesic_distance(own), config.directions)
-    pt = tortuosity_solves(wanted, own, config)
+    pt = diffusion.physical_tortuosity(wanted, own, config.directions, config.boundary_factor, config.rtol, config.max_iterations, config.diffusivity, config.voxel_size)
     named = lambda df, prefix: df.select("sample", F.concat(F.lit(prefix), "phase").alias("feature"), "value")
     over = lambda df, how: df.groupBy("sample", "phase").agg(how(F.col("value")).alias("value"))
-    return union([
+    features = union([
         named(wanted.select("sample", "phase", (F.col("voxels") / F.col("total")).alias("value")), "vf"),
         named(chords.mean_chord_length(runs, wanted, config.min_chord, config.voxel_size), "cld"),
         named(surface.surface_area(planes, phases, config.voxel_size, config.surface_sigma), "sa"),
@@ -88,6 +91,7 @@ def long_features(planes: DataFrame, config: FeatureConfig, phases=None, cache:
         counts.tpb_density(planes, config.voxel_size).select("sample", F.lit("tpb").alias("feature"), "value"),
         counts.active_tpb_density(connected, config.directions, config.voxel_size).groupBy("sample").agg(F.avg("value").alias("value")).select("sample", F.lit("atpb").alias("feature"), "value"),
     ])
+    return Extraction(features, pt)
 
 
 def columns(config: FeatureConfig) -> list[str]:
@@ -98,10 +102,16 @@ def wide(long: DataFrame, config: FeatureConfig) -> DataFrame:
     return long.groupBy("sample").pivot("feature", columns(config)).agg(F.first("value"))
 
 
+def extraction_of_planes(planes: DataFrame, config: FeatureConfig = FeatureConfig()) -> Extraction:
+    """One feature row per sample, and the solves; ValueError for an axis of one voxel."""
+    source.check_axes(planes)
+    long, solves = long_features(planes, config)
+    return Extraction(wide(long, config), solves)
+
+
 def features_of_planes(planes: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """One row per sample: vf, cld, sa, gt, pt, perc of each phase, tpb, atpb; ValueError for an axis of one voxel."""
-    source.check_axes(planes)
-    return wide(long_features(planes, config), config)
+    return extraction_of_planes(planes, config).features
 
 
 def extract_features(voxels: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -137,7 +147,7 @@ def static_cache_of_planes(planes: DataFrame, config: FeatureConfig = FeatureCon
     phase = config.static_phase
     connected = connected_planes(own, required_phases(config, [phase]))
     names = [f"{prefix}{phase}" for prefix in PREFIXES]
-    values = long_features(own, config, [phase], connected=connected).where(F.col("feature").isin(names))
+    values = long_features(own, config, [phase], connected=connected).features.where(F.col("feature").isin(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,14 +188,19 @@ def extract_series(voxels: DataFrame, config: FeatureConfig = FeatureConfig(), c
 
 
 def series_of_planes(planes: DataFrame, config: FeatureConfig = FeatureConfig(), cache: DataFrame | None = None) -> DataFrame:
-    """As features_of_planes, but the static phase of one sample serves all when config says so: that of cache, a table of ``static_cache``, or else the first sample's.
+    """The rows of series_extraction."""
+    return series_extraction(planes, config, cache).features
+
+
+def series_extraction(planes: DataFrame, config: FeatureConfig = FeatureConfig(), cache: DataFrame | None = None) -> Extraction:
+    """As extraction_of_planes, but the static phase of one sample serves all when config says so: that of cache, a table of ``static_cache``, or else the first sample's.
 
-    The static phase's features and parts are not computed again.  Raises
+    The static phase's features, solves and parts are not computed again.  Raises
     ValueError if volumes differ in size, if the cache is of another phase, or
     if a sample's static phase differs and config.verify_static is set.
     """
     if config.recalculate_static:
-        return features_of_planes(planes, config)
+        return extraction_of_planes(planes, config)
     source.check_axes(planes)
     if cache is None:
         cache = stored(static_cache_of_planes(planes, config), "static")
@@ -202,4 +217,5 @@ def series_of_planes(planes: DataFrame, config: FeatureConfig = FeatureConfig(),
     others = [p for p in config.phases if p != config.static_phase]
     reference = cache.where("kind = 'feature'").select("feature", "value")
     copied = planes.select("sample").distinct().join(F.broadcast(reference)).select("sample", "feature", "value")  # six rows
-    return wide(long_features(planes, config, others, cache).unionByName(copied), config)
+    long, solves = long_features(planes, config, others, cache)
+    return Extraction(wide(long.unionByName(copied), config), solves)

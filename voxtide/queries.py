@@ -63,6 +63,10 @@ def positive_phases(spark, sf_dir):
     return counts.positive_phases(source.from_lineitem(spark, sf_dir))
 
 
+def phase_masks(spark, sf_dir):
+    return counts.phase_masks(source.from_lineitem(spark, sf_dir), PHASES)
+
+
 def phase_mask_counts(spark, sf_dir):
     return counts.phase_counts(source.from_lineitem(spark, sf_dir), PHASES)
 
@@ -225,7 +229,7 @@ def static_phase_columns(spark, sf_dir):
 
 
 ALL = (
-    vox_scan, vox_dims, positive_phases, phase_mask_counts, volume_fraction, gaussian_smooth, gradient_magnitude, surface_area, tpb_edges_by_axis,
+    vox_scan, vox_dims, positive_phases, phase_masks, phase_mask_counts, volume_fraction, gaussian_smooth, gradient_magnitude, surface_area, tpb_edges_by_axis,
     tpb_density, boundary_reachable, percolation_mask, percolation_fraction, atpb_density, geodesic_distance, geometric_tortuosity,
     tortuosity_mean_skip_inf, ray_segments, chord_runs, mean_chord_length, diffusion_system, operator_apply, physical_tortuosity, cell_numbers, percolation_mean, atpb_mean, initial_residual, feature_columns,
     static_phase_verify, feature_row, static_phase_reuse, static_phase_columns,
@@ -319,6 +323,7 @@ ORACLES: dict[str, str] = {
     "vox_scan": _sql("select * from vox"),
     "vox_dims": _sql("select sample, max(x) as nx, max(y) as ny, max(z) as nz, count(*) as n from vox group by all"),
     "positive_phases": _sql("select distinct sample, phase from vox where phase > 0"),
+    "phase_masks": _sql("select sample, phase, x, y, z from vox where phase in (1, 2, 3)"),
     "phase_mask_counts": _sql("select s.sample, p.phase, count(*) filter (s.phase = p.phase) as voxels, count(*) as total from vox s, phases p group by all"),
     "volume_fraction": _sql(f"select s.sample, p.phase, {_R('avg(cast(s.phase = p.phase as double))', 'value')} from vox s, phases p group by all"),
     "gaussian_smooth": _sql(f"select sample, phase, x, y, z, {_R('v')} from s3", _SMOOTH),

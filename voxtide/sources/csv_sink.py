@@ -18,8 +18,8 @@ def csv_value(value) -> str:
     return str(value)
 
 
-def write_features(features: DataFrame, path: str) -> str:
-    """Rows in order of sample; a feature table has one row a volume, streamed to the driver a partition at a time."""
+def write_features(features: DataFrame, path: str, order: tuple[str, ...] = ("sample",)) -> str:
+    """Rows in order of sample, unless another is given; a feature table has one row a volume, streamed to the driver a partition at a time."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, part = tempfile.mkstemp(dir=folder, suffix=".part")
@@ -27,7 +27,7 @@ def write_features(features: DataFrame, path: str) -> str:
     try:
         with os.fdopen(handle, "w") as out:
             out.write(",".join(features.columns) + "\n")
-            for row in features.orderBy("sample").toLocalIterator():
+            for row in features.orderBy(*order).toLocalIterator():
                 out.write(",".join(map(csv_value, row)) + "\n")
                 rows += 1
         if not rows:

@@ -36,16 +36,6 @@ def dims(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("sample").agg(*(F.max(a).cast("int").alias(f"n{a}") for a in "xyz"), F.count("*").alias("n"))
 
 
-def check_dense(voxels: DataFrame) -> None:
-    """Raise ValueError if a volume has holes, repeated voxels, coordinates below 1 or an axis of one voxel."""
-    cells = voxels.groupBy(*CELL).agg(F.count("*").alias("times"))
-    sums = cells.groupBy("sample").agg(*(F.max(a).cast("long").alias(f"n{a}") for a in "xyz"), F.min(F.least(*"xyz")).alias("low"), F.max("times").alias("times"), F.count("*").alias("cells"))
-    whole = (F.col("cells") == F.col("nx") * F.col("ny") * F.col("nz")) & (F.col("times") == 1) & (F.col("low") == 1)
-    bad = sums.where(~whole | (F.least("nx", "ny", "nz") < 2)).first()
-    if bad is not None:
-        raise ValueError(f"volume {bad['sample']} is not dense or has an axis of one voxel")
-
-
 def from_array(spark: SparkSession, sample: str, labels) -> DataFrame:
     """A volume from a 3-D array; for small ones, as in tests."""
     rows = [(sample, x + 1, y + 1, z + 1, int(labels[x, y, z])) for x in range(labels.shape[0]) for y in range(labels.shape[1]) for z in range(labels.shape[2])]
