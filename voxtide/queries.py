@@ -277,7 +277,7 @@ _REACH = f"""reach as (select sample, phase, dir, far, x, y, z from vox, dirs, (
 _THROUGH = f"""{_REACH}, through as (select sample, phase, dir, x, y, z from reach where not far intersect select sample, phase, dir, x, y, z from reach where far)"""
 _WALK = f"""{_THROUGH}, walk as (select sample, phase, dir, x, y, z, 0 as d from through where {_FACES.format("")} = {N}
   union select t.sample, t.phase, t.dir, t.x, t.y, t.z, w.d + 1 from walk w, moves m, through t where t.sample = w.sample and t.phase = w.phase and t.dir = w.dir
-  and t.x = w.x + m.mx and t.y = w.y + m.my and t.z = w.z + m.mz and w.d < 120),
+  and t.x = w.x + m.mx and t.y = w.y + m.my and t.z = w.z + m.mz and w.d < {N**3 // 2}),
 dist as (select sample, phase, dir, x, y, z, cast(min(d) as int) as d from walk group by all)"""
 _GT = f"""{_WALK}, gt as (select s.sample, p.phase, r.dir, coalesce(avg(d.d) / {N - 1}, 'inf'::double) as value from samples s cross join phases p cross join dirs r
   left join dist d on d.sample = s.sample and d.phase = p.phase and d.dir = r.dir and {_FACES.format("d.").replace("dir", "r.dir", 1)} = 1 group by all)"""

@@ -76,9 +76,9 @@ def pack(voxels: DataFrame) -> DataFrame:
 
 
 def whole_volumes(planes: DataFrame) -> DataFrame:
-    """Stored planes (sample, x, ny, nz, labels) with the volume's nx; ValueError where planes are missing, null, repeated or differ in size."""
-    sums = planes.groupBy("sample").agg(F.max("x").alias("nx"), F.min("x").alias("low"), F.count("labels").alias("n"), F.countDistinct("x").alias("xs"), *(f("n" + a).alias(g + a) for a in "yz" for f, g in ((F.min, "low_"), (F.max, "high_"))))
-    good = (F.col("low") == 1) & (F.col("n") == F.col("nx")) & (F.col("xs") == F.col("nx")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_z") == F.col("high_z"))
+    """Stored planes (sample, x, ny, nz, labels), one a sample and x, with the volume's nx; ValueError where planes are missing, null or differ in size."""
+    sums = planes.groupBy("sample").agg(F.max("x").alias("nx"), F.min("x").alias("low"), F.count("labels").alias("n"), *(f("n" + a).alias(g + a) for a in "yz" for f, g in ((F.min, "low_"), (F.max, "high_"))))
+    good = (F.col("low") == 1) & (F.col("n") == F.col("nx")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_z") == F.col("high_z"))
     bad = sums.where(~good).first()
     if bad is not None:
         raise ValueError(f"volume {bad['sample']} is not dense")
@@ -114,8 +114,11 @@ def voxels(planes: DataFrame, column: str = "labels", to: str = "phase", bits: b
 
 
 def in_slabs(planes: DataFrame, slab_voxels: int = SLAB_VOXELS, before: int = 0, after: int = 0) -> DataFrame:
-    """planes with slab and, as x0 and x1, the slab's own first and last plane; a plane comes once for each slab that it belongs to or is in the halo of."""
-    depth = F.greatest(F.lit(1), F.floor(F.lit(slab_voxels) / (F.col("ny").cast("long") * F.col("nz")))).cast("int")
+    """planes with slab and, as x0 and x1, the slab's own first and last plane; a plane comes once for each slab that it belongs to or is in the halo of.
+
+    A slab is as deep as its halo at least, so halos no more than double what is sent.
+    """
+    depth = F.greatest(F.lit(max(1, before + after)), F.floor(F.lit(slab_voxels) / (F.col("ny").cast("long") * F.col("nz")))).cast("int")
     last = F.floor((F.col("nx") - 1) / depth)
     first_slab = F.greatest(F.floor((F.col("x") - 1 - after) / depth), F.lit(0))
     slabs = F.sequence(first_slab, F.least(F.floor((F.col("x") - 1 + before) / depth), last))
