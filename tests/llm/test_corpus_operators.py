@@ -263,7 +263,7 @@ def test_decontamination_is_the_same_in_shards(spark):
     held = [(r.item_id, r.text) for r in items.orderBy("item_id").collect()]
     planted = spark.createDataFrame([(-1 - i, f"before it {t} and after") for i, (_, t) in enumerate(held[:40])], "doc_id long, text string")
     docs = docs.select("doc_id", "text").orderBy("doc_id").limit(60).unionAll(planted)
-    one, two, many = (sorted(map(tuple, decontam.contaminated(docs, items, postings=n).collect())) for n in (500_000, 900, 150))
+    one, two, many = (sorted(map(tuple, decontam.contaminated(docs, items, postings=n).collect())) for n in (500_000, 900, 150))  # the last in several passes
     assert one == two == many and decontam.shards(items, postings=150).count() >= 8 > decontam.shards(items, postings=900).count() >= 2
     wanted = [(r.doc_id, i, q, a) for r in docs.collect() for i, (q, a) in matches_by_hand(r.text or "", held).items()]
     assert one == sorted(wanted) and len(one) >= 40
@@ -279,6 +279,11 @@ def test_op9(spark):
     for own, item in set(got) - whole:  # found otherwise: most of the item's runs stand in the text
         wanted = decontam.runs(dict(items)[item], 5)
         assert len(wanted & grams[own]) / len(wanted) > 0.6
+    held = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for own in {d for d, _ in got}:  # every overlap of every text with a match, against all items
+        if len(texts[own]) < 20_000:
+            assert {i: got[own, i] for d, i in got if d == own} == matches_by_hand(texts[own], held)
 
 
 def test_decontamination_edge_rows(spark, edge):
@@ -351,7 +356,7 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     single = {key_of(d[0], d[1]): d for d in sorted(lined, key=repr) if classes[key_of(d[0], d[1])] == key_of(d[0], d[1])}
     items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id", "text").collect()
     index = decontam.Index.of([r.item_id for r in items], [r.text for r in items])
-    wanted = [(own, text, source, lang) for own, text, source, lang, _ in single.values() if not index.matches(text or "")]
+    wanted = [(own, text, source, lang) for own, text, source, lang, _ in single.values() if not index.matches(decontam.words(text or ""))]
     assert sorted(map(repr, got)) == sorted(map(repr, wanted))
     ids = Counter(r[0] for r in wanted)
     assert ids[None] > 3 and any(n > 1 for own, n in ids.items() if own is not None)

@@ -14,9 +14,11 @@ the text, in order, word for word but for a small share.
 
 The index is made by Spark: document frequencies, mean length and longest item
 come from all items, and the postings are dealt to shards of bounded size, each
-built in a task.  The driver hands a shard on as a broadcast and each shard
-makes one pass over the texts.  As nothing but the postings depends on the
-shard, the results are the same for any number of them.
+built in a task.  A pass over the texts holds several shards, as broadcasts of
+bounded size in all, and a text's words are told apart once for them; where
+the items need more passes, what a pass found is stored and its broadcasts are
+let go before the next begins.  As nothing but the postings depends on the
+shard, the results are the same for any number of shards and passes.
 
 Rows: null and empty texts give no pairs; texts are read whole, as windows
 that overlap by more than the longest item; items without words are never
@@ -46,6 +48,8 @@ from voxtide.llm.common import alone, arrow_schema, record_batch, stored, unused
 
 #: Postings of one broadcast shard: about 60 MB of a task's and of the driver's memory.
 SHARD_POSTINGS = 500_000
+#: Shards of one pass over the texts, about 250 MB of a task's and of the driver's memory.
+PASS_SHARDS = 4
 BLOCK, K1, B, THRESHOLD = 4, 1.2, 0.3, 0.5
 #: Entries of a shard's table of block bounds that is kept beside the lists, 16 MB.
 TABLE = 2_000_000
@@ -203,9 +207,8 @@ class Index:
             out.append(len(wanted & have) / len(wanted) if wanted else 0.0)
         return out[0], out[1]
 
-    def matches(self, text: str) -> dict:
-        """Item id to (question overlap, answer overlap) of the verified items, best window each."""
-        tokens = words(text)
+    def matches(self, tokens: list[str]) -> dict:
+        """Item id to (question overlap, answer overlap) of the verified items of a text with these words, best window each."""
         get, none = self.terms.get, len(self.terms)
         numbers = np.fromiter(map(get, tokens, repeat(none)), np.int64, len(tokens))
         out: dict = {}
@@ -263,15 +266,19 @@ def shards(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", postings: int = SHARD_POSTINGS) -> DataFrame:
     """(id, item_id, question_overlap, answer_overlap) of every text and test item that it holds."""
+    spark = docs.sparkSession
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("item_id", items.schema[item_col].dataType), *StructType.fromDDL("question_overlap double, answer_overlap double")])
     kinds = arrow_schema(schema)
 
-    def search(held):
+    def search(held: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone("decontam")
-            index = pickle.loads(held.value)
+            indexes = [pickle.loads(h.value) for h in held]
             for batch in batches:
-                rows = [(own.as_py(), item, q, a) for own, text in zip(batch.column(0), batch.column(1), strict=True) for item, (q, a) in sorted(index.matches(text.as_py() or "").items())]
+                rows = []
+                for own, text in zip(batch.column(0), batch.column(1), strict=True):
+                    tokens, own = words(text.as_py() or ""), own.as_py()
+                    rows += [(own, item, q, a) for index in indexes for item, (q, a) in sorted(index.matches(tokens).items())]
                 if rows:
                     yield record_batch(rows, kinds)
 
@@ -279,10 +286,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     made = stored(shards(items, item_col, text_col, postings), "index")
     numbers = [r["shard"] for r in made.select("shard").orderBy("shard").collect()]
-    out = docs.sparkSession.createDataFrame([], schema)
-    for number in numbers:
-        held = docs.sparkSession.sparkContext.broadcast(bytes(made.where(F.col("shard") == number).first()["index"]))
-        out = search(held) if number == numbers[0] else out.unionAll(search(held))
+    passes = [numbers[i : i + PASS_SHARDS] for i in range(0, len(numbers), PASS_SHARDS)]
+    out = spark.createDataFrame([], schema)
+    for shard_numbers in passes:
+        held = [spark.sparkContext.broadcast(bytes(r["index"])) for r in made.where(F.col("shard").isin(shard_numbers)).orderBy("shard").toLocalIterator()]
+        found = search(held)
+        if len(passes) > 1:
+            found = stored(found, "found")
+            for one in held:
+                one.destroy()
+        out = found if shard_numbers is passes[0] else out.unionAll(found)
     return out
 
 
