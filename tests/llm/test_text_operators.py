@@ -240,6 +240,101 @@ def test_models_without_labels(spark, edge):
     assert all(np.isfinite(gam.text_features(t or "")).all() for _, t, *_ in EDGE)
 
 
+def test_slopes_equal_differences_and_scores_equal_loops():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab c"), 40)) for _ in range(12)] + ["", "one"]
+    labels = np.array([1.0, 0.0] * 7)
+    model = toxicity.fit(texts, labels)
+    u, at = model.softmax[:, 1] - model.softmax[:, 0], toxicity.Layout(texts)
+    _, by_bias, by_row = toxicity.slopes(model, at, labels)
+
+    def likelihood(bias=0.0, row=0, by=0.0):
+        vectors = model.vectors.copy()
+        vectors[row] += by * u / (u @ u)  # moves this row's odds by ``by``
+        return toxicity.slopes(toxicity.Model(vectors, model.softmax, model.bias + bias, model.sharp), at, labels)[0]
+
+    h = 1e-5
+    assert (likelihood(bias=h) - likelihood(bias=-h)) / (2 * h) == pytest.approx(by_bias, abs=1e-7)
+    for row in np.argsort(-np.abs(by_row))[:40]:
+        assert (likelihood(row=row, by=h) - likelihood(row=row, by=-h)) / (2 * h) == pytest.approx(by_row[row], abs=1e-7)
+
+    def by_hand(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        odds = []
+        for word in words:
+            marked = f"<{word}>"
+            parts = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+            rows = {zlib.crc32(p.encode()) % toxicity.ROWS for p in parts}
+            odds.append(sum(float(model.vectors[r] @ u) for r in rows) / len(rows))
+        pairs = [(a + b) / 2 for a, b in zip(odds, odds[1:])] or [x / 2 for x in odds]
+        z = model.bias + (np.log(sum(np.exp(model.sharp * v) for v in pairs)) / model.sharp if pairs else 0.0)
+        return 1 / (1 + np.exp(-z))
+
+    of = model.scorer()
+    assert [of(t) for t in [*texts, "abc cab unseen"]] == pytest.approx([by_hand(t) for t in [*texts, "abc cab unseen"]], abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded_in_characters(spark, monkeypatch):
+    rows = [(i, "bad word" if i % 2 else "good word", i % 2) for i in range(40)] + [(100, "x" * 1_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels)))
+    toxicity.train(docs, "toxic")
+    monkeypatch.setattr(toxicity, "MAX_CHARACTERS", 160)
+    toxicity.train(docs, "toxic")
+    assert len(seen[0][0]) == 41 and seen[0][1].sum() == 21
+    assert 16 <= len(seen[1][0]) <= 20 and set(seen[1][0]) <= {"bad word", "good word"} and sum(map(len, seen[1][0])) <= 160
+
+
+def boosted_by_hand(x, y):
+    """The cyclic boosting of the tables, row by row: every step is the best tree of at most three leaves by trying all cuts."""
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, gam.BINS + 1)[1:-1])) for c in x.T]
+    bins = [[sum(v >= c for c in cut) for v in col] for cut, col in zip(cuts, x.T)]
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+    odds = [float(np.log(y.mean() / (1 - y.mean())))] * len(y)
+
+    def leaf(rows):
+        g = sum(y[r] - 1 / (1 + np.exp(-odds[r])) for r in rows)
+        h = sum((p := 1 / (1 + np.exp(-odds[r]))) * (1 - p) for r in rows)
+        return g * g / (h + gam.PENALTY), g / (h + gam.PENALTY)
+
+    for _ in range(gam.ROUNDS):
+        for i, table in enumerate(tables):
+            inside = lambda a, b: [r for r in range(len(y)) if a <= bins[i][r] < b]
+            edges = [0, len(table)]
+            for _ in range(2):
+                tried = [
+                    (leaf(inside(a, k))[0] + leaf(inside(k, b))[0] - leaf(inside(a, b))[0], -k)
+                    for a, b in zip(edges, edges[1:]) for k in range(a + 1, b)
+                ]
+                if not tried or max(tried)[0] <= 0:
+                    break
+                edges = sorted([*edges, -max(tried)[1]])
+            steps = [(a, b, gam.RATE * leaf(inside(a, b))[1]) for a, b in zip(edges, edges[1:])]
+            for a, b, step in steps:
+                for k in range(a, b):
+                    table[k] += step
+                for r in inside(a, b):
+                    odds[r] += step
+    return tables
+
+
+def test_boosting_equals_trying_all_cuts(monkeypatch):
+    monkeypatch.setattr(gam, "BINS", 5)
+    monkeypatch.setattr(gam, "ROUNDS", 4)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + rng.normal(0, 0.3, 60) > 0).astype(float)
+    model = gam.fit(x, y)
+    for own, other in zip(model.tables, boosted_by_hand(x, y), strict=True):
+        assert own == pytest.approx(other, abs=1e-9)
+    # a score is the sum of looked-up values
+    bins = model.bins(x)
+    for r in range(5):
+        z = model.base + sum(t[bins[r, i]] for i, t in enumerate(model.tables)) + sum(t[bins[r, i], bins[r, j]] for i, j, t in model.pairs)
+        assert model.score(x)[r] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_toxicity_reads_long_words_whole():
     long = "x" * 40
     assert {zlib.crc32(part) % toxicity.ROWS for part in (b"xgrum", b"grumb", b"mble>", b"le>")} <= set(toxicity.grams(long + "grumble"))

@@ -11,8 +11,8 @@ with the word that they hide, and so its vectors.
 The average is over windows and not over the whole text, as an average over
 all words lets a few words of a long text vanish (README has the figures).
 
-Fitting uses a sample of labelled rows of bounded size; of equal hashed ids the
-least id comes first, an id that repeats counts once, with its least text and
+Fitting uses a sample of labelled rows, bounded in rows and in characters; of
+equal hashed ids the least id comes first, an id that repeats counts once, with its least text and
 largest label, null ids and labels are not used.  Rows: a null text counts as
 empty and scores by the bias alone; texts are scored whole; rows that repeat
 are scored each, equal texts alike; an empty table gives no rows, and no or
@@ -31,12 +31,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import Remembered, alone, labelled_ids
+from voxtide.llm.common import Remembered, alone, discard, labelled_ids, stored
 
 #: How much more a toxic text counts in fitting.
 TOXIC_WEIGHT = 2.5
 #: At most so many toxic rows are used to fit, and three times as many others.
 MAX_LABELLED = 1_000
+#: At most so many characters are used to fit, whole texts in order of hashed id; texts of over a sixteenth of it take no part in fitting.
+MAX_CHARACTERS = 24_000_000
 ROWS, WIDTH, WINDOW, EPOCHS, RATE, DECAY, SHARP = 1 << 16, 12, 2, 80, 0.5, 3e-3, 5.0
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -84,6 +86,46 @@ def pool(values: np.ndarray, sharp: float) -> float:
     return float(top + np.log(np.exp(sharp * (values - top)).sum()) / sharp)
 
 
+class Layout:
+    """Training texts laid end to end as numbers of words, and each word's n-grams."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        runs = [np.array([number.setdefault(w, len(number)) for w in _WORDS(t.lower())] or [number.setdefault("", len(number))], np.int64) for t in texts]
+        lists = [grams(w) for w in number]
+        self.gram, self.size = np.concatenate(lists), np.array([len(x) for x in lists])
+        self.first = np.concatenate([[0], self.size.cumsum()[:-1]])
+        self.weight = np.repeat(1 / self.size, self.size)
+        # each text is followed by WINDOW - 1 blanks so that no window spans two
+        self.blank = len(number)
+        self.flat = np.concatenate([np.concatenate([r, np.full(WINDOW - 1, self.blank)]) for r in runs])
+        spans = np.array([len(r) + WINDOW - 1 for r in runs])
+        self.starts = np.concatenate([[0], spans.cumsum()[:-1]])
+        self.owner = np.repeat(np.arange(len(runs)), spans)
+
+
+def slopes(model: Model, at: Layout, labels: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Weighted mean log-likelihood of the labels, and its slopes by the bias and by the odds of each embedding row."""
+    row = model.vectors @ (model.softmax[:, 1] - model.softmax[:, 0])
+    word = np.append(np.add.reduceat(row[at.gram] * at.weight, at.first), 0.0)
+    each = word[at.flat]
+    sums = np.concatenate([[0.0], each.cumsum(), np.full(WINDOW - 1, each.sum())])
+    value = (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
+    top = np.maximum.reduceat(value, at.starts)
+    soft = np.exp(model.sharp * (value - top[at.owner]))
+    total = np.add.reduceat(soft, at.starts)
+    z = model.bias + top + np.log(total) / model.sharp
+    much = np.where(labels > 0, TOXIC_WEIGHT, 1.0)
+    miss = (labels - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) / len(labels) * much
+    pull = (miss / total)[at.owner] * soft / WINDOW
+    sums = np.concatenate([np.zeros(WINDOW), pull.cumsum()])
+    on = sums[WINDOW:] - sums[:-WINDOW]  # of each place, from the windows that hold it
+    by_word = np.bincount(at.flat, on, at.blank + 1)[: at.blank]
+    by_row = np.bincount(at.gram, np.repeat(by_word / at.size, at.size), ROWS)
+    likelihood = float((much * (labels * z - np.logaddexp(0, z))).sum() / len(labels))
+    return likelihood, float(miss.sum()), by_row
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Gradient descent on the logistic loss of pooled window odds."""
     rng = np.random.default_rng(seed)
@@ -93,36 +135,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     if not len(labels) or labels.min() == labels.max():
         model.softmax[:] = 0
         return model
-    number: dict[str, int] = {}
-    runs = [np.array([number.setdefault(w, len(number)) for w in _WORDS(t.lower())] or [number.setdefault("", len(number))], np.int64) for t in texts]
-    lists = [grams(w) for w in number]
-    gram, size = np.concatenate(lists), np.array([len(x) for x in lists])
-    first = np.concatenate([[0], size.cumsum()[:-1]])
-    weight = np.repeat(1 / size, size)
-    # texts are laid end to end, each followed by WINDOW - 1 blanks so that no window spans two
-    blank = len(number)
-    flat = np.concatenate([np.concatenate([r, np.full(WINDOW - 1, blank)]) for r in runs])
-    spans = np.array([len(r) + WINDOW - 1 for r in runs])
-    starts = np.concatenate([[0], spans.cumsum()[:-1]])
-    owner = np.repeat(np.arange(len(runs)), spans)
+    at = Layout(texts)
     for epoch in range(EPOCHS):
         u = model.softmax[:, 1] - model.softmax[:, 0]
-        row = model.vectors @ u
-        word = np.append(np.add.reduceat(row[gram] * weight, first), 0.0)
-        each = word[flat]
-        sums = np.concatenate([[0.0], each.cumsum(), np.full(WINDOW - 1, each.sum())])
-        value = (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
-        top = np.maximum.reduceat(value, starts)
-        soft = np.exp(model.sharp * (value - top[owner]))
-        total = np.add.reduceat(soft, starts)
-        z = model.bias + top + np.log(total) / model.sharp
-        miss = (labels - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) / len(labels) * np.where(labels > 0, TOXIC_WEIGHT, 1.0)
-        model.bias += 4.0 * float(miss.sum())
-        pull = (miss / total)[owner] * soft / WINDOW
-        sums = np.concatenate([np.zeros(WINDOW), pull.cumsum()])
-        on = sums[WINDOW:] - sums[:-WINDOW]  # of each place, from the windows that hold it
-        by_word = np.bincount(flat, on, blank + 1)[:blank]
-        by_row = np.bincount(gram, np.repeat(by_word / size, size), ROWS)
+        _, by_bias, by_row = slopes(model, at, labels)
+        model.bias += 4.0 * by_bias
         # steps of set length, as the gradient is tiny until the first words stand out
         pace = RATE * (1 - 0.9 * epoch / EPOCHS)
         along = (model.vectors * by_row[:, None]).sum(0)
@@ -136,13 +153,24 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 def train(docs: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, labels: DataFrame | None = None) -> Model:
     """Fit on at most limit toxic and 3 * limit other documents (id, text), those of least hashed id, with a label from labels (id, label) or, without it, from docs itself.
 
-    The sample is chosen by ids alone and broadcast, so texts stay where they are read.  An id that repeats counts once, with its least text.
+    The sample is chosen by ids alone and broadcast, so texts stay where they are read; its own texts are stored, and the driver takes
+    MAX_CHARACTERS of them at most.  An id that repeats counts once, with its least text.
     """
+    spark, kind = docs.sparkSession, docs.select(id_col).schema
     order = [F.xxhash64(id_col), F.col(id_col)]
     ids = labelled_ids(docs, docs if labels is None else labels, label_col, id_col)
     chosen = ids.where(F.col(label_col) == 1).orderBy(*order).limit(limit).unionAll(ids.where(F.col(label_col) == 0).orderBy(*order).limit(3 * limit))
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(chosen), id_col)
-    rows = texts.groupBy(id_col, label_col).agg(F.min(text_col)).orderBy(id_col).collect()
+    kept = stored(texts.groupBy(id_col, label_col).agg(F.min(text_col).alias(text_col)), "labelled")
+    sizes = kept.select(F.xxhash64(id_col), id_col, F.length(text_col)).collect()  # 4 * limit narrow rows
+    used, room = [], MAX_CHARACTERS
+    for _, own, size in sorted((tuple(r) for r in sizes if r[2] <= MAX_CHARACTERS // 16)):
+        room -= size
+        if room < 0:
+            break
+        used.append((own,))
+    rows = kept.join(F.broadcast(spark.createDataFrame(used, kind)), id_col).select(id_col, label_col, text_col).orderBy(id_col).collect()
+    discard(kept)
     return fit([r[2] for r in rows], np.array([float(r[1]) for r in rows]))
 
 
