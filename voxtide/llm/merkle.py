@@ -83,12 +83,12 @@ def tree(text: str) -> list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int
 
 
 def fingerprint(text: str) -> str:
-    """Root in hex, a colon, and the tree in base64: numbers of sections and paragraphs, then (four bytes of hash, number) of every section, paragraph and leaf."""
+    """Root in hex, a colon, and the tree in base64: numbers of sections and paragraphs, then (eight bytes of hash, number) of every section, paragraph and leaf."""
     sections = tree(text)
     root = _hash(b"d" + b"".join(h for h, _ in sections), 16)
     paragraphs = [x for _, own in sections for x in own]
     rows = [(h, len(own)) for h, own in [*sections, *paragraphs]] + [x for _, own in paragraphs for x in own]
-    packed = np.array([len(sections), len(paragraphs)], "<u4").tobytes() + b"".join(h[:4] + n.to_bytes(4, "little") for h, n in rows)
+    packed = np.array([len(sections), len(paragraphs)], "<u4").tobytes() + b"".join(h + n.to_bytes(4, "little") for h, n in rows)
     return f"{root.hex()}:{base64.b64encode(packed).decode()}"
 
 
@@ -96,9 +96,10 @@ class Tree:
     """A fingerprint read back: per level hashes, characters and the node above; where each leaf begins."""
 
     def __init__(self, text: str):
-        data = np.frombuffer(base64.b64decode(text[33:]), "<u4")
-        n, m = int(data[0]), int(data[1])
-        hashes, numbers = data[2::2], data[3::2].astype(np.int64)
+        data = base64.b64decode(text[33:])
+        n, m = np.frombuffer(data, "<u4", 2).tolist()
+        nodes = np.frombuffer(data, [("hash", "<u8"), ("number", "<u4")], offset=8)
+        hashes, numbers = np.ascontiguousarray(nodes["hash"]), nodes["number"].astype(np.int64)
         self.hashes = [hashes[:n], hashes[n : n + m], hashes[n + m :]]
         leaf = numbers[n + m :]
         of_section, of_paragraph = np.repeat(np.arange(n), numbers[:n]), np.repeat(np.arange(m), numbers[n : n + m])
