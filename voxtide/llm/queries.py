@@ -89,7 +89,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
     vocab = bpe.vocabulary(spark, public_tokenizers.path(VOCABULARY))
-    return chat.read_back(turns.unionAll(extra), vocab, public_tokenizers.PATTERN)
+    return chat.read_back(turns.unionAll(extra), vocab, public_tokenizers.PATTERN).drop("n_tokens", "loss_tokens")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,22 @@ marked as (select l.*, b.line is not null and (l.doc_id, l.place) <> b.first as
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
   coalesce(string_agg(line, chr(10) order by place) filter (not gone), '') as text
 from marked group by doc_id""",
+    "op10_chat": r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+t as (
+  select *, case when role = 'assistant' then text else '' end as lost,
+    replace(replace(role, '%', '%25'), chr(10), '%0A') as line,
+    length('<|im_start|>') + length('<|im_end|>') + 2 as marks,
+    len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')) as escapes
+  from said)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role)) as turns_sha256,
+  sum(length(lost))::bigint as loss_chars, sha256(string_agg(lost, '' order by turn, role)) as loss_sha256,
+  sum(marks + length(line) + length(text) + escapes)::bigint as formatted_chars
+from t group by conv_id""",
     "op11_va_centroids": _centroids_sql(rounds=3),
     "op12_exact_dedup": """
 with t as (select doc_id, coalesce(text, '') as text from documents)
