@@ -93,9 +93,10 @@ def fingerprint(text: str) -> str:
 
 
 class Tree:
-    """A fingerprint read back: per level hashes, characters and the node above; where each leaf begins."""
+    """A fingerprint read back: its root, per level hashes, characters and the node above; where each leaf begins."""
 
     def __init__(self, text: str):
+        self.root = text[:32]
         data = base64.b64decode(text[33:])
         n, m = np.frombuffer(data, "<u4", 2).tolist()
         nodes = np.frombuffer(data, [("hash", "<u8"), ("number", "<u4")], offset=8)
@@ -138,21 +139,17 @@ def descend(one: Tree, other: Tree) -> tuple[float, np.ndarray, np.ndarray]:
     return same, np.flatnonzero(open_[0]), np.flatnonzero(open_[1])
 
 
-def likeness(one: str, other: str) -> float:
-    """Share of both texts' characters in branches that both have, 0 to 1; 1.0 if the roots are equal."""
-    if one[:32] == other[:32]:
-        return 1.0
-    a, b = Tree(one), Tree(other)
-    total = float(a.chars[2].sum() + b.chars[2].sum())
-    return 2 * descend(a, b)[0] / total if total else 0.0
+def alike(one: Tree, other: Tree) -> tuple[float, np.ndarray]:
+    """Share of both texts' characters in branches that both have, 0 to 1 (1.0 if the roots are equal), and the leaves of one that other lacks."""
+    if one.root == other.root:
+        return 1.0, np.zeros(0, np.int64)
+    same, lacking, _ = descend(one, other)
+    total = float(one.chars[2].sum() + other.chars[2].sum())
+    return 2 * same / total if total else 0.0, lacking
 
 
-def edits(one: str, other: str) -> list[tuple[int, int]]:
-    """Character ranges of the text of fingerprint ``one`` in leaves that ``other`` lacks, neighbours joined."""
-    if one[:32] == other[:32]:
-        return []
-    tree_ = Tree(one)
-    lacking = descend(tree_, Tree(other))[1]
+def ranges(tree_: Tree, lacking: np.ndarray) -> list[tuple[int, int]]:
+    """Character ranges of leaves, neighbours joined."""
     out: list[tuple[int, int]] = []
     for start, size in zip(tree_.begin[lacking].tolist(), tree_.chars[2][lacking].tolist(), strict=True):
         if out and out[-1][1] == start:
@@ -162,6 +159,17 @@ def edits(one: str, other: str) -> list[tuple[int, int]]:
     return out
 
 
+def likeness(one: str, other: str) -> float:
+    """Share of both texts' characters in branches that both fingerprints have, 0 to 1; 1.0 if the roots are equal."""
+    return alike(Tree(one), Tree(other))[0]
+
+
+def edits(one: str, other: str) -> list[tuple[int, int]]:
+    """Character ranges of the text of fingerprint ``one`` in leaves that ``other`` lacks, neighbours joined."""
+    tree_ = Tree(one)
+    return ranges(tree_, alike(tree_, Tree(other))[1])
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, root, fingerprint."""
 
@@ -263,13 +271,15 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for own, _, text, bucket, place in zip(*(batch.column(i) for i in range(5)), strict=True):
                 text, bucket, place = text.as_py(), bucket.as_py(), place.as_py()
                 now = fingerprint(text)
+                now_tree = Tree(now)
                 if held and held[2] == bucket and held[4] == 0:
                     changed = edited_text(held[1], text)
                     other = fingerprint(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    found = edits(held[3], other)
-                    rows.append((held[0], len(held[1]), digest, held[3], other, likeness(held[3], other), likeness(held[3], now), len(found), found[0][0] if found else None))
-                held = (own.as_py(), text, bucket, now, place)
+                    near, lacking = alike(held[5], Tree(other))
+                    found = ranges(held[5], lacking)
+                    rows.append((held[0], len(held[1]), digest, held[3], other, near, alike(held[5], now_tree)[0], len(found), found[0][0] if found else None))
+                held = (own.as_py(), text, bucket, now, place, now_tree)
             if rows:
                 yield record_batch(rows, kinds)
 
