@@ -204,6 +204,49 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_pitman_yor_words_in_context(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 97) for _ in range(30)] + [None, "", "w1 w2 w1 w2 w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter()
+    for text in texts:
+        own = [b"", *pitman_yor.tokens(text or ""), b""]
+        counts.update(zip(own, own[1:], strict=False))
+    for bucket_tokens in (100, 10**6):
+        monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket_tokens)
+        model = pitman_yor.train(docs)
+        seats = {bytes(r.word): r for r in model.seats.collect()}
+        word_of = {int(pitman_yor.hashed([w])[0]): w for w in seats}
+        assert 0 < len(model.rooms.hot) < len(seats) and (model.rooms.buckets > 1) == (bucket_tokens == 100)
+        found, mass, tables = {}, {}, np.zeros(pitman_yor.SAMPLES)
+        for r in model.pairs.collect():
+            u, w, c = np.frombuffer(r.u, np.uint64), np.frombuffer(r.w, np.uint64), np.frombuffer(r.c, np.int32)
+            t = np.frombuffer(r.t, np.int32).reshape(pitman_yor.SAMPLES, -1)
+            assert (t >= 1).all() and (t <= c).all()
+            tables += t.sum(1)
+            for a, b, n, mean in zip(u.tolist(), w.tolist(), c.tolist(), t.mean(0), strict=True):
+                pair = word_of[a], word_of[b]
+                assert pair not in found
+                found[pair] = n
+                mass[pair] = (n - model.pair_discount * mean) / (pitman_yor.PAIR_STRENGTH + seats[pair[0]].c)
+        assert found == counts and model.customers == tables.tolist()
+        unknown = 10 ** model.unknown()
+        for u in seats:  # the words and the outcome of all others share a context's probability
+            assert sum(mass.get((u, w), 0) + seats[u].b * seats[w].p for w in seats) + seats[u].b * unknown == pytest.approx(1, abs=1e-6)
+        asked = spark.createDataFrame([*enumerate(texts), (90, "w1 w2 new w3 w3"), (91, "w3 w3 new w2 w1")], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in pitman_yor.score(asked, model).collect()}
+        for own, text in [*enumerate(texts), (90, "w1 w2 new w3 w3"), (91, "w3 w3 new w2 w1")]:
+            line = [b"", *pitman_yor.tokens(text or ""), b""]
+            wanted = sum(math.log10(mass.get((u, w), 0) + (seats[u].b if u in seats else 1) * (seats[w].p if w in seats else unknown)) for u, w in zip(line, line[1:], strict=False))
+            assert got[own] == pytest.approx(wanted, rel=1e-5)
+        assert got[90] != pytest.approx(got[91], rel=1e-3)
+
+
+def test_op5_known_words_above_base(spark):
+    rows = [r for r in queries.op5_pitman_yor(spark, SMALL).collect() if r.held_out and r.n_known == r.n_tokens]
+    assert len(rows) > 10 and sum(r.open_score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_pitman_yor_edge_rows(spark, edge):
     model = pitman_yor.train(edge.where("doc_id <> 9"))
     got = pitman_yor.score(edge, model).collect()
