@@ -221,7 +221,7 @@ def test_pitman_yor_words_in_context(spark, monkeypatch):
         found, mass, tables = {}, {}, np.zeros(pitman_yor.SAMPLES)
         for r in model.pairs.collect():
             u, w, c = np.frombuffer(r.u, np.uint64), np.frombuffer(r.w, np.uint64), np.frombuffer(r.c, np.int32)
-            t = np.frombuffer(r.t, np.int32).reshape(pitman_yor.SAMPLES, -1)
+            t = pitman_yor.tables_of(c, np.frombuffer(r.t, np.int32))
             assert (t >= 1).all() and (t <= c).all()
             tables += t.sum(1)
             for a, b, n, mean in zip(u.tolist(), w.tolist(), c.tolist(), t.mean(0), strict=True):
