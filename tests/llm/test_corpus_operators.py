@@ -1,15 +1,19 @@
 """Operators over the whole corpus against brute force, and their edge cases."""
 
+import glob
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 import corpus_pipeline
+from voxtide.functions.tables import shared_folder
 from voxtide.llm import bagminhash, decontam, gam, linedup, pitman_yor, queries
 from voxtide.llm.common import crc_fold
 
@@ -242,6 +246,27 @@ def test_pitman_yor_words_in_context(spark, monkeypatch):
         assert got[90] != pytest.approx(got[91], rel=1e-3)
 
 
+def test_pitman_yor_pairs_are_small(spark):
+    before = set(glob.glob(f"{shared_folder(spark)}/pairs-*"))
+    model = pitman_yor.train(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    (folder,) = set(glob.glob(f"{shared_folder(spark)}/pairs-*")) - before
+    pairs = sum(len(r.c) // 4 for r in model.pairs.collect())
+    assert sum(p.stat().st_size for p in Path(folder).glob("*.parquet")) < 8 * pairs
+
+
+def test_pitman_yor_blocks(spark, monkeypatch):
+    texts = [f"w{i % 7} x{i % 5} w{i % 3} \u00e4{i}" for i in range(40)] + [None, "", "w1 w2 w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
+    trains, found = F.col("doc_id") % 3 > 0, []
+    for tokens in (9, 10**6):
+        monkeypatch.setattr(pitman_yor, "HELD_TOKENS", tokens)
+        blocks = pitman_yor.encode(docs, trains)
+        assert (blocks.count() > 10) == (tokens == 9)
+        found.append(sorted(map(tuple, pitman_yor.score_blocks(blocks, pitman_yor.fit(blocks)).collect())))
+    apart = sorted(map(tuple, pitman_yor.score(docs, pitman_yor.train(docs.where(trains))).collect()))
+    assert found[0] == found[1] == apart and len(apart) == len(texts)
+
+
 def test_op5_known_words_above_base(spark):
     rows = [r for r in queries.op5_pitman_yor(spark, SMALL).collect() if r.held_out and r.n_known == r.n_tokens]
     assert len(rows) > 10 and sum(r.open_score for r in rows) > sum(r.base_score for r in rows)
